@@ -2,16 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm import decontaminate, exact_dedup
+from cuesheet.llm import decontaminate, exact_dedup, langid, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _crc_rest(modulus: int) -> Column:
+    """crc32 of doc_id's text, modulo `modulus`; a null id has none."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; fold 2 of 4 is held out of learning."""
+    docs = _table(spark, sf_dir, "documents")
+    held = F.coalesce(_crc_rest(4) == 2, F.lit(False))
+    model = langid.learn(docs, "lang", "text", "doc_id", accept=~held)
+    out = langid.predict(docs, model)
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "n_languages", "proportions")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document under the public 50k byte-level vocabulary."""
+    import public_tokenizers
+
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact groups of `documents`; the largest doc_id of each stays."""
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), keep="max")
@@ -23,6 +44,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op7_token_counts": op7_token_counts,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
