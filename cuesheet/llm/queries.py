@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm import decontaminate, exact_dedup, langid, token_counts
+from cuesheet.llm import decontaminate, exact_dedup, langid, quality, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "n_languages", "proportions")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; fold 0 of 5 is held out of learning."""
+    docs = _table(spark, sf_dir, "documents")
+    held = F.coalesce(_crc_rest(5) == 0, F.lit(False))
+    scorer = quality.learn(docs, _table(spark, sf_dir, "labels"), accept=~held)
+    return quality.score(docs, scorer).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document under the public 50k byte-level vocabulary."""
     import public_tokenizers
@@ -45,6 +53,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op5_quality": op5_quality,
     "op7_token_counts": op7_token_counts,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_decontaminate": op10_decontaminate,
