@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm import decontaminate, exact_dedup, langid, quality, token_counts
+from cuesheet.llm import decontaminate, exact_dedup, langid, quality, secrets, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "n_languages", "proportions")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: base patterns and random tokens."""
+    return secrets.find_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; fold 0 of 5 is held out of learning."""
     docs = _table(spark, sf_dir, "documents")
@@ -53,6 +58,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op4_secrets": op4_secrets,
     "op5_quality": op5_quality,
     "op7_token_counts": op7_token_counts,
     "op8_exact_dedup": op8_exact_dedup,
