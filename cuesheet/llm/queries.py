@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm import decontaminate, exact_dedup, langid, quality, secrets, token_counts
+from cuesheet.llm import decontaminate, exact_dedup, jaccard, langid, packing, quality, secrets, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "n_languages", "proportions")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of `pages` with revisit records, written and read back."""
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: base patterns and random tokens."""
     return secrets.find_secrets(_table(spark, sf_dir, "documents"))
@@ -39,6 +44,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, scorer).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of `documents` whose sets of 5-word shingles have a Jaccard similarity of 0.75 or more."""
+    return jaccard.similar_components(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document under the public 50k byte-level vocabulary."""
     import public_tokenizers
@@ -51,6 +61,15 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), keep="max")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed by its token count into sequences of the permitted lengths."""
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents")
+    counts = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack_documents(counts, rows=docs.count())
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document, with the contract's contamination rule."""
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -58,9 +77,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op3_warc": op3_warc,
     "op4_secrets": op4_secrets,
     "op5_quality": op5_quality,
+    "op6_jaccard": op6_jaccard,
     "op7_token_counts": op7_token_counts,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_packing": op9_packing,
     "op10_decontaminate": op10_decontaminate,
 }

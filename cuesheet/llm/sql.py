@@ -32,7 +32,38 @@ SELECT dw.doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+OP3 = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest, url AS uri FROM pages),
+g AS (SELECT payload_digest, max(page_id) AS keep FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN keep IS NULL OR keep = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN keep <> page_id THEN keep END AS refers_to, uri
+FROM p LEFT JOIN (SELECT payload_digest AS d, keep FROM g) ON d = payload_digest AND payload_bytes >= 1000
+"""
+
+OP6 = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({_FOLD.format("text")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+df AS (SELECT g FROM s GROUP BY g HAVING count(*) > 1),
+c AS (SELECT s.doc_id, s.g FROM s JOIN df USING (g)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM c a JOIN c b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+r(doc_id, seen) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.doc_id, l.b FROM r JOIN l ON r.seen = l.a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)
+"""
+
 ORACLE = {
+    "op3_warc": OP3,
+    "op6_jaccard": OP6,
     "op8_exact_dedup": OP8,
     "op10_decontaminate": OP10,
 }
