@@ -18,11 +18,19 @@ CAPACITIES = (512, 1024, 2048, 4096)
 GROUP_ITEMS = 20_000
 #: Cost of a bin beside its length, in tokens.
 BIN_COST = 8.0
+#: Length at which the quadratic part of a sequence's cost equals the linear one.
+QUADRATIC_AT = 16384.0
 
 
-def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, bin_cost: float = BIN_COST) -> tuple[list[int], list[int]]:
+def bin_price(capacity: int, bin_cost: float = BIN_COST, quadratic_at: float = QUADRATIC_AT) -> float:
+    """What a sequence of this length costs: a fixed part, its tokens, and attention over them."""
+    return bin_cost + capacity + capacity * capacity / quadratic_at
+
+
+def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, bin_cost: float = BIN_COST, quadratic_at: float = QUADRATIC_AT) -> tuple[list[int], list[int]]:
     """(bin of each item, capacity of each bin). lengths: non-increasing, none over the largest capacity."""
     caps = sorted(set(capacities))
+    price = {c: bin_price(c, bin_cost, quadratic_at) for c in caps}
     left = [0] * (caps[-1] + 1)  # items still to come, by length
     for n in lengths:
         left[n] += 1
@@ -62,7 +70,7 @@ def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, bin_cost:
                 open_mask &= ~(1 << r)
             r -= n
         else:
-            cost, size = min(((c + bin_cost) / max(1, n + filled(c - n)), c) for c in caps if c >= n)
+            cost, size = min((price[c] / max(1, n + filled(c - n)), c) for c in caps if c >= n)
             b = len(bins)
             bins.append(size)
             used.append(0)
@@ -80,6 +88,7 @@ def pack_documents(
     id_col: str = "doc_id",
     capacities: tuple[int, ...] = CAPACITIES,
     bin_cost: float = BIN_COST,
+    quadratic_at: float = QUADRATIC_AT,
     group_items: int = GROUP_ITEMS,
     rows: int | None = None,
 ) -> DataFrame:
@@ -113,7 +122,7 @@ def pack_documents(
         ids = pdf["id"].to_numpy()
         rank = pd.Series(ids).rank(method="dense", na_option="top").to_numpy()
         order = np.lexsort((piece, rank[row], -length))
-        bins, sizes = pack(length[order].tolist(), caps, bin_cost)
+        bins, sizes = pack(length[order].tolist(), caps, bin_cost, quadratic_at)
         bins = np.array(bins, np.int64)
         by_bin = np.argsort(bins, kind="stable")
         total = np.cumsum(length[order][by_bin]) - length[order][by_bin]
