@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm import decontaminate, exact_dedup, jaccard, langid, packing, quality, secrets, token_counts, warc
+from cuesheet.llm import decontaminate, exact_dedup, jaccard, langid, packing, passages, quality, secrets, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "n_languages", "proportions")
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that repeat, exactly or nearly, across `documents`."""
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of `pages` with revisit records, written and read back."""
     return warc.round_trip(_table(spark, sf_dir, "pages"))
@@ -77,6 +82,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_passages": op2_passages,
     "op3_warc": op3_warc,
     "op4_secrets": op4_secrets,
     "op5_quality": op5_quality,
