@@ -182,6 +182,20 @@ def learn(df: DataFrame, lang_col: str, text_col: str, id_col: str, settings: Se
     return MixtureModel(languages, total, settings)
 
 
+def _judge(known: MixtureModel | None, batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, whether a language was found, shares) for pieces of a batch."""
+    texts = batch.column(batch.schema.get_field_index(column))
+    for first, end, data, offsets in text_pieces(batch, column, 1 << 19):
+        shares = known.infer(data, offsets) if known else np.zeros((end - first, 1))
+        letters = np.concatenate(([0], np.cumsum(_ASCII_LETTER[data])))[offsets]
+        found = np.diff(letters) > 0
+        for i in np.flatnonzero(~found & (np.diff(offsets) > 0)):
+            found[i] = any(c.isalpha() for c in texts[first + int(i)].as_py())
+        found &= shares.sum(axis=1) > 0
+        shares[~found] = 0
+        yield first, end, found, shares
+
+
 def predict(df: DataFrame, model: MixtureModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, lang_pred, score, n_languages, proportions (language to share).
 
@@ -196,16 +210,8 @@ def predict(df: DataFrame, model: MixtureModel | None, id_col: str = "doc_id", t
         known: MixtureModel | None = box.value
         names = np.array([*(known.languages if known else []), UNDETERMINED], object)
         for batch in batches:
-            texts = batch.column(1)
-            for first, end, data, offsets in text_pieces(batch, "text", 1 << 19):
+            for first, end, found, shares in _judge(known, batch, "text"):
                 size = end - first
-                shares = known.infer(data, offsets) if known else np.zeros((size, 1))
-                letters = np.concatenate(([0], np.cumsum(_ASCII_LETTER[data])))[offsets]
-                found = np.diff(letters) > 0
-                for i in np.flatnonzero(~found & (np.diff(offsets) > 0)):
-                    found[i] = any(c.isalpha() for c in texts[first + int(i)].as_py())
-                found &= shares.sum(axis=1) > 0
-                shares[~found] = 0
                 top = shares.argmax(axis=1)
                 picked = np.where(found, top, len(names) - 1)
                 keep = shares > 0
@@ -217,7 +223,7 @@ def predict(df: DataFrame, model: MixtureModel | None, id_col: str = "doc_id", t
                         batch.column(0).slice(first, size),
                         pa.array(names[picked].tolist(), pa.string()),
                         pa.array(np.clip(shares[np.arange(size), top] * found, 0.0, 1.0)),
-                        pa.array((shares > 0).sum(axis=1).astype(np.int32)),
+                        pa.array(keep.sum(axis=1).astype(np.int32)),
                         mixture,
                     ],
                     names=[id_col, "lang_pred", "score", "n_languages", "proportions"],
@@ -225,3 +231,22 @@ def predict(df: DataFrame, model: MixtureModel | None, id_col: str = "doc_id", t
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"`{id_col}` {id_type}, lang_pred string, score double, n_languages int, proportions map<string,double>")
+
+
+def keep_languages(df: DataFrame, model: MixtureModel | None, languages: list[str] | None = None, min_share: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of df, columns unchanged, whose leading language is one of `languages` (default: any learned
+    one) with a share of min_share or more. Null text, text without a letter, and every row if nothing was
+    learned are rejected. Rows are judged one by one, without a shuffle.
+    """
+    box = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: MixtureModel | None = box.value
+        wanted = np.array([languages is None or k in languages for k in (known.languages if known else [UNDETERMINED])])
+        for batch in batches:
+            for first, end, found, shares in _judge(known, batch, text_col):
+                top = shares.argmax(axis=1)
+                stay = found & wanted[top] & (shares[np.arange(end - first), top] >= min_share)
+                yield batch.slice(first, end - first).filter(pa.array(stay))
+
+    return df.mapInArrow(run, df.schema)
