@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from cuesheet.plans import timeline
+
+_PARTS = (timeline,)
+QUERIES: dict = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLE: dict = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
