@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cuesheet.plans import timeline
+from cuesheet.plans import tables, timeline
 
-_PARTS = (timeline,)
+_PARTS = (timeline, tables)
 QUERIES: dict = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLE: dict = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
