@@ -3,7 +3,8 @@
 Distinct pre-tokens of a batch are one ragged numpy array of symbols. In each step every sequence
 looks up the ranks of its neighbouring pairs and merges all occurrences of its own lowest-ranked
 pair, all sequences at once; a sequence without a mergeable pair is finished, and its count is the
-number of symbols that survive. Counts of pre-tokens seen before come from a bounded cache.
+number of symbols that survive. Counts of pieces seen lately, a space and what follows it, come from a
+bounded cache.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ from cuesheet.llm.runtime import text_pieces
 _WS = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the byte-level pre-token pattern, with white space spelled out.
 PRETOKEN = rf"'(?:[stmd]|re|ve|ll)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
+_ASCII_SPACE = "\t\n\x0b\x0c\r"
+_OTHER_SPACE = _ASCII_SPACE + "\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_SPACE = frozenset(" " + _OTHER_SPACE)
 _NO_RANK = np.int64(1 << 40)
 
 
@@ -39,7 +43,7 @@ def byte_symbols() -> dict[int, str]:
 class ArrayBpe:
     """Counts tokens as a byte-level BPE tokenizer file (JSON) defines them, without special tokens added."""
 
-    def __init__(self, source: str, cache_entries: int = 1 << 20):
+    def __init__(self, source: str, cache_entries: int = 1 << 18):
         spec = json.loads(source)
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
         plain = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
@@ -54,14 +58,51 @@ class ArrayBpe:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         keys = np.array([vocab[a] * self._size + vocab[b] for a, b in pairs], np.int64)
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        order = np.argsort(keys, kind="stable")
-        self._keys, self._ranks, self._made = keys[order], order.astype(np.int64), made
+        self._made = made
+        self._table(keys)
         added = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
         self._added = re.compile("|".join(map(re.escape, added))) if added else None
         self._split = regex.compile(PRETOKEN).findall
-        self._cache: dict[str, int] = {}
+        # Two generations of counts: pieces in use go on to the next, the rest is dropped when room is short.
+        self._words: dict[str, int] = {}
+        self._older: dict[str, int] = {}
         self._entries = cache_entries
 
+    def _table(self, keys: np.ndarray) -> None:
+        """An open-addressed hash table from pair to rank: as many probes as its longest run has entries."""
+        self._mask = (1 << max(10, int(len(keys) * 8).bit_length())) - 1
+        self._slots = np.full(self._mask + 1, -1, np.int64)
+        self._rank = np.full(self._mask + 1, _NO_RANK)
+        rest, at, self._probes = np.arange(len(keys)), self._home(keys), 0
+        while len(rest):
+            free = self._slots[at] < 0
+            slot, which = np.unique(np.where(free, at, -1), return_index=True)
+            which = which[slot >= 0]
+            self._slots[at[which]], self._rank[at[which]] = keys[rest[which]], rest[which]
+            left = np.ones(len(rest), bool)
+            left[which] = False
+            rest, at = rest[left], (at[left] + 1) & self._mask
+            self._probes += 1
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & self._mask
+
+    def _rank_of(self, keys: np.ndarray) -> np.ndarray:
+        at = self._home(keys)
+        found = self._slots[at]
+        out = np.where(found == keys, self._rank[at], _NO_RANK)
+        rest = np.flatnonzero((found != keys) & (found >= 0))
+        for _ in range(self._probes):
+            if not len(rest):
+                break
+            at = (at[rest] if len(at) == len(keys) else at) + 1 & self._mask
+            found = self._slots[at]
+            hit = found == keys[rest]
+            out[rest[hit]] = self._rank[at[hit]]
+            go = ~hit & (found >= 0)
+            rest, at = rest[go], at[go]
+        return out
+
     def survivors(self, pieces: list[str]) -> np.ndarray:
         """Symbols that are left of each pre-token when no pair can be merged."""
         raw = [p.encode() for p in pieces]
@@ -73,9 +114,7 @@ class ArrayBpe:
             rank = np.full(len(sym), _NO_RANK)
             near = np.flatnonzero(seq[1:] == seq[:-1])
             key = sym[near] * self._size + sym[near + 1]
-            at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
-            known = self._keys[at] == key
-            rank[near[known]] = self._ranks[at[known]]
+            rank[near] = self._rank_of(key)
             first = np.flatnonzero(np.concatenate(([True], seq[1:] != seq[:-1])))
             lowest = np.minimum.reduceat(rank, first)
             counts = np.diff(np.append(first, len(sym)))
@@ -103,24 +142,62 @@ class ArrayBpe:
         parts = self._added.split(text)
         return [t for p in parts for t in self._split(p)], len(parts) - 1
 
+    def _pieces(self, text: str) -> list[str] | None:
+        """The text split at its spaces, if every space stands between two characters that are no white space.
+
+        Such a space always begins a pre-token, and no pre-token goes on over it: the count of the text is
+        that of its pieces, each (but the first) with the space before it. Else None.
+        """
+        if text[0] in _SPACE or text[-1] in _SPACE or "  " in text:
+            return None
+        for w in _OTHER_SPACE if not text.isascii() else _ASCII_SPACE:
+            if w in text and (w + " " in text or " " + w in text):
+                return None
+        return text.split(" ")
+
+    def _count_pieces(self, pieces: list[str]) -> list[int]:
+        """Tokens of each piece (none empty, none with a space) with a space before it."""
+        # One split for all: a pre-token that begins with a space is the first of the next piece.
+        tokens = self._split(" " + " ".join(pieces))
+        first = np.flatnonzero(np.fromiter((t[0] == " " for t in tokens), bool, len(tokens)))
+        return np.add.reduceat(self.survivors(tokens), first).tolist()
+
     def counts(self, texts: list[str | None]) -> list[int]:
         """Tokens of each text; null counts as empty."""
-        cache, out, late = self._cache, [0] * len(texts), []
+        words, out = self._words, [0] * len(texts)
+        plain: list[tuple[int, list[str]]] = []  # texts as lists of pre-tokens
+        split: list[tuple[int, list[str]]] = []  # texts as pieces, of which some are new
         for i, text in enumerate(texts):
-            if text:
-                tokens, extra = self._pretokens(text)
-                try:
-                    out[i] = extra + sum(map(cache.__getitem__, tokens))
-                except KeyError:
-                    late.append((i, tokens, extra))
-        if late:
-            fresh = list({t for _, tokens, _ in late for t in tokens} - cache.keys())
-            found = dict(zip(fresh, self.survivors(fresh).tolist(), strict=True)) if fresh else {}
-            for i, tokens, extra in late:
-                out[i] = extra + sum(found[t] if t in found else cache[t] for t in tokens)
-            if len(cache) + len(found) > self._entries:
-                cache.clear()
-            cache.update((t, n) for t, n in found.items() if len(t) <= 64)
+            if not text:
+                continue
+            pieces = None if self._added is not None and self._added.search(text) else self._pieces(text)
+            if pieces is None:
+                tokens, out[i] = self._pretokens(text)
+                plain.append((i, tokens))
+                continue
+            plain.append((i, self._split(pieces[0])))
+            del pieces[0]
+            try:
+                out[i] = sum(map(words.__getitem__, pieces))
+            except KeyError:
+                split.append((i, pieces))
+        if split:
+            unseen = set().union(*(pieces for _, pieces in split)).difference(words)
+            fresh = unseen.difference(self._older)
+            words.update((p, self._older[p]) for p in unseen.difference(fresh))
+            if fresh:
+                words.update(zip(fresh, self._count_pieces(list(fresh)), strict=True))
+            for i, pieces in split:
+                out[i] = sum(map(words.__getitem__, pieces))
+        tokens = [t for _, part in plain for t in part]
+        if tokens:
+            sums = np.concatenate(([0], np.cumsum(self.survivors(tokens))))
+            ends = np.cumsum([len(part) for _, part in plain])
+            for (i, part), end in zip(plain, ends.tolist(), strict=True):
+                out[i] += int(sums[end] - sums[end - len(part)])
+        if len(words) > self._entries:
+            self._older = {p: n for p, n in words.items() if len(p) <= 64}
+            self._words = {}
         return out
 
 
@@ -153,7 +230,7 @@ def count_tokens(df: DataFrame, tokenizer_path: str, limit: int = 1024, id_col:
         counter = _counter(source.value)
         for batch in batches:
             texts = batch.column(1)
-            for first, end, _, offsets in text_pieces(batch, "text"):
+            for first, end, _, offsets in text_pieces(batch, "text", 1 << 22):
                 n = np.array(counter.counts(texts.slice(first, end - first).to_pylist()), np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, end - first), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)],
