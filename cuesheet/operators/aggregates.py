@@ -131,13 +131,13 @@ def completed(status: Column, state: str = "done") -> Column:
 
 
 def format_size(size: Column) -> Column:
-    """Bytes as B, KB and MB with one decimal, GB with two, by powers of 1024."""
+    """Bytes as B, KB and MB with one decimal, GB with two, by powers of 1024; ties round to even."""
     b = size.cast("double")
     return (
         F.when(size < 1024, F.format_string("%d B", size.cast("bigint")))
-        .when(size < 1024**2, F.format_string("%.1f KB", b / 1024))
-        .when(size < 1024**3, F.format_string("%.1f MB", b / 1024**2))
-        .otherwise(F.format_string("%.2f GB", b / 1024**3))
+        .when(size < 1024**2, F.format_string("%.1f KB", F.bround(b / 1024, 1)))
+        .when(size < 1024**3, F.format_string("%.1f MB", F.bround(b / 1024**2, 1)))
+        .otherwise(F.format_string("%.2f GB", F.bround(b / 1024**3, 2)))
     )
 
 
