@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from cuesheet.llm.runtime import written
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v").distinct()
+def _forward(edges: DataFrame) -> DataFrame:
+    """Each link once, from the smaller to the larger end."""
+    return edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,11 +21,13 @@ def components(edges: DataFrame) -> DataFrame:
     short. Aggregates are partial before every shuffle; joins may be split by Spark when a hub is hot.
     Null ends and loops are ignored; an empty table gives no rows.
     """
-    links = written(_both_ways(edges.filter("u is not null and v is not null")), "links")
-    labels = links.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
+    links = written(_forward(edges.filter("u is not null and v is not null")), "links")
+    ends = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    labels = ends.select("node", F.col("node").alias("component"))
     while True:
-        least = links.groupBy("u").agg(F.min("v").alias("v"))
-        up = written(least.select(F.col("u").alias("label"), F.least("u", "v").alias("parent")), "parents")
+        # The least label next to each, itself included: of both directions of every link.
+        sides = links.select(F.explode(F.array(F.struct(F.col("u").alias("label"), F.col("u").alias("to")), F.struct(F.col("v").alias("label"), F.col("u").alias("to")))).alias("s"))
+        up = written(sides.groupBy("s.label").agg(F.min("s.to").alias("parent")), "parents")
         while True:
             over = up.select(F.col("label").alias("l2"), F.col("parent").alias("p2"))
             jumped = written(up.join(over, F.col("parent") == F.col("l2"), "left").select("label", F.coalesce("p2", "parent").alias("parent"), (F.coalesce("p2", "parent") != F.col("parent")).alias("moved")), "parents")
@@ -36,6 +39,6 @@ def components(edges: DataFrame) -> DataFrame:
         ends = up.select(F.col("label").alias("l2"), F.col("parent").alias("p2"))
         moved = links.join(up, F.col("u") == F.col("label")).select(F.col("parent").alias("u"), "v")
         moved = moved.join(ends, F.col("v") == F.col("l2")).select("u", F.col("p2").alias("v"))
-        links = written(moved.filter("u <> v").distinct(), "links")
+        links = written(_forward(moved), "links")
         if not links.limit(1).count():
             return labels

@@ -16,7 +16,8 @@ reaches a threshold, and the result is the component of every document. In steps
    partitions that must agree leaves its empty choices out: another signature is shared then.
 4. Of the nodes that share a signature the one whose shingles are the most common is the hub; each other
    node is compared with it, exactly. Nodes that miss the hub's component are compared with the hub's
-   other neighbours, unless a component or the triangle inequality of the Jaccard distance rules it out.
+   other neighbours, under the last hub that both have, unless a component, the sizes, the triangle
+   inequality of the Jaccard distance or the counts of elements by cell of the domain rule it out.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ K2, N2 = 1, 4
 #: Share of partitions beyond those that differences can spoil.
 SPARE = 0.2
 BITMAP_BITS = 25
+#: Cells by which elements are counted; differing counts bound the difference of two sets from below.
+PROFILE = 256
 _FLUSH = 2_000_000
 
 _HEAD = np.dtype([("id", "<i8"), ("null", "?"), ("n", "<u4"), ("hi", "<i8"), ("lo", "<i8")])
@@ -228,8 +231,13 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+def _profile(s: np.ndarray) -> list[int]:
+    """Elements in each of PROFILE cells of the domain, as far as 16 bits count."""
+    return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=PROFILE), 32767).tolist()
+
+
 def _node_sets(docs: DataFrame, nodes: DataFrame, length: int) -> DataFrame:
-    """(node, n, hk, body) of every node, written."""
+    """(node, n, hk, body, profile) of every node, written."""
     box = docs.sparkSession.sparkContext.broadcast(_bitmap(nodes))
     rows = docs.filter("id is not null").withColumn("pos", F.pmod(F.xxhash64("id"), F.lit(1 << BITMAP_BITS)))
 
@@ -241,14 +249,14 @@ def _node_sets(docs: DataFrame, nodes: DataFrame, length: int) -> DataFrame:
                 sets = shingle_sets(data, offsets, length)
                 keys = [_set_key(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([_packed(s) for s in sets], pa.binary())],
-                    names=["id", "hi", "lo", "body"],
+                    [batch.column(0).slice(first, end - first), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([_packed(s) for s in sets], pa.binary()), pa.array([_profile(s) for s in sets], pa.list_(pa.int16()))],
+                    names=["id", "hi", "lo", "body", "profile"],
                 )
 
-    found = rows.mapInArrow(run, "id bigint, hi bigint, lo bigint, body binary")
+    found = rows.mapInArrow(run, "id bigint, hi bigint, lo bigint, body binary, profile array<smallint>")
     own = nodes.select("node", "n", F.col("hi").alias("h2"), F.col("lo").alias("l2"), "hk")
     joined = found.join(own, (F.col("id") == F.col("node")) & (F.col("hi") == F.col("h2")) & (F.col("lo") == F.col("l2")))
-    return written(joined.select("node", "n", "hk", "body").dropDuplicates(["node", "hk"]), "jaccard-sets")
+    return written(joined.select("node", "n", "hk", "body", "profile").dropDuplicates(["node", "hk"]), "jaccard-sets")
 
 
 def band_ends(percent: int, most: int) -> list[int]:
@@ -347,15 +355,30 @@ def _node_components(sets: DataFrame, percent: int) -> DataFrame:
     spokes = first.select("a", "b", "gap").join(label.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
     spokes = spokes.join(label.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
     spokes = written(spokes.select("a", "b", "gap", F.coalesce("cb", "b").alias("cb"), F.coalesce("ca", "a").alias("ca")), "jaccard-spokes")
-    apart = spokes.filter("ca <> cb").select("a", F.col("b").alias("y"), F.col("gap").alias("gy"), F.col("cb").alias("cy"))
-    near = spokes.select("a", F.col("b").alias("x"), F.col("gap").alias("gx"), F.col("cb").alias("cx"), (F.col("ca") != F.col("cb")).alias("out"))
+    open_hubs = spokes.filter("ca <> cb").select("a").distinct()
+    spokes = spokes.join(open_hubs, "a", "left_semi")
+    hubs_of = spokes.groupBy("b").agg(F.collect_set("a").alias("hubs"))
+    spokes = spokes.join(hubs_of, "b").join(sets.select(F.col("hk").alias("b"), "n", "profile"), "b")
+    spokes = written(spokes, "jaccard-open")
+    apart = spokes.filter("ca <> cb").select("a", *[F.col(c).alias(f"{c}_y") for c in ("b", "gap", "cb", "hubs", "n", "profile")])
+    near = spokes.select("a", *[F.col(c).alias(f"{c}_x") for c in ("b", "gap", "cb", "hubs", "n", "profile")], (F.col("ca") != F.col("cb")).alias("out"))
     most = (100 - percent) / 100 + 1e-9
-    rest = apart.join(near, "a").filter((F.col("cx") != F.col("cy")) & (~F.col("out") | (F.col("x") < F.col("y"))) & (F.abs(F.col("gx") - F.col("gy")) <= most))
-    size = sets.select(F.col("hk").alias("x"), F.col("n").alias("nx"))
-    rest = rest.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-    rest = rest.join(size, "x").join(size.select(F.col("x").alias("y"), F.col("nx").alias("ny")), "y")
-    rest = rest.filter(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    second = _verified(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"), sets, percent, "jaccard-second")
+    apart_by = F.aggregate(F.zip_with("profile_x", "profile_y", lambda p, q: F.abs(p.cast("int") - q.cast("int"))), F.lit(0), lambda acc, d: acc + d)
+    condition = (
+        (near["a"] == apart["a"])
+        & (F.col("cb_x") != F.col("cb_y"))
+        & (~F.col("out") | (F.col("b_x") < F.col("b_y")))
+        & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
+        & (F.abs(F.col("gap_x") - F.col("gap_y")) <= most)
+        # compared before: one is a hub of the other
+        & ~F.array_contains("hubs_x", F.col("b_y"))
+        & ~F.array_contains("hubs_y", F.col("b_x"))
+        # a pair is met under each hub that both have, and taken under the last
+        & (F.array_max(F.array_intersect("hubs_x", "hubs_y")) == near["a"])
+        & ((100 + percent) * apart_by <= (100 - percent) * (F.col("n_x") + F.col("n_y")))
+    )
+    rest = near.join(apart, condition).select(F.greatest("b_x", "b_y").alias("a"), F.least("b_x", "b_y").alias("b")).distinct()
+    second = _verified(rest, sets, percent, "jaccard-second")
     links = first.filter("linked").select("a", "b").unionByName(second.filter("linked").select("a", "b"))
     return components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
