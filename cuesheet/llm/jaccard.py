@@ -14,10 +14,11 @@ reaches a threshold, and the result is the component of every document. In steps
    differences, and in such a partition some n2 - k2 cells agree. Every choice of n2 - k2 cells of
    every partition is a signature. A set whose own partitions with an empty choice are fewer than the
    partitions that must agree leaves its empty choices out: another signature is shared then.
-4. Of the nodes that share a signature the one whose shingles are the most common is the hub; each other
-   node is compared with it, exactly. Nodes that miss the hub's component are compared with the hub's
-   other neighbours, under the last hub that both have, unless a component, the sizes, the triangle
-   inequality of the Jaccard distance or the counts of elements by cell of the domain rule it out.
+4. Of the nodes that share a signature the one whose shingles are the most common is the hub. Every node is
+   compared, exactly, with the foremost of its hubs, then with the hubs of those signatures whose nodes are
+   not of one component yet. Nodes that still miss a hub's component are compared with the hub's other
+   nodes, under the last hub that both have, unless a component, the sizes, the triangle inequality of the
+   Jaccard distance or the counts of elements by cell of the domain rule it out.
 """
 
 from __future__ import annotations
@@ -343,25 +344,41 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> Dat
     return written(both.mapInArrow(run, "a bigint, b bigint, gap double, linked boolean"), name)
 
 
+def _open_pairs(members: DataFrame, label: DataFrame, name: str) -> DataFrame:
+    """(a, b, ca, cb): hub and member of the groups that have more than one component yet, with those components."""
+    tagged = members.join(label.select(F.col("node").alias("hk"), F.col("component").alias("c")), "hk", "left").select("sig", "hk", "hub", F.coalesce("c", "hk").alias("c"))
+    mixed = tagged.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(F.when(F.col("hk") == F.col("hub"), F.col("c"))).alias("ca")).filter("low <> high")
+    return written(tagged.filter("hk <> hub").join(mixed, "sig").select(F.col("hub").alias("a"), F.col("hk").alias("b"), "ca", F.col("c").alias("cb")).distinct(), name)
+
+
+def _as_links(pairs: DataFrame) -> DataFrame:
+    return pairs.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
 def _node_components(sets: DataFrame, percent: int) -> DataFrame:
-    """(hk, component hk) of the nodes that link with any other."""
+    """(node, component), as hk, of the nodes that link with any other."""
     sigs = _signatures(sets, percent)
     hubs = sigs.groupBy("sig").agg(F.max("hk").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    # Nodes that share a signature meet at its hub: a pair for each node, never all pairs of a group.
-    pairs = sigs.join(hubs, "sig").filter("hk <> hub").select(F.col("hub").alias("a"), F.col("hk").alias("b")).distinct()
-    first = _verified(pairs, sets, percent, "jaccard-first")
-    label = components(first.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    # What is left: nodes outside their hub's component, against the other nodes of that hub.
-    spokes = first.select("a", "b", "gap").join(label.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    spokes = spokes.join(label.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-    spokes = written(spokes.select("a", "b", "gap", F.coalesce("cb", "b").alias("cb"), F.coalesce("ca", "a").alias("ca")), "jaccard-spokes")
-    open_hubs = spokes.filter("ca <> cb").select("a").distinct()
-    spokes = spokes.join(open_hubs, "a", "left_semi")
+    # Nodes that share a signature meet at its hub: a row for each member, never all pairs of a group.
+    members = written(sigs.join(hubs, "sig"), "jaccard-members")
+    # First every node with the foremost of its hubs: mostly that settles its component.
+    foremost = members.filter("hk <> hub").groupBy(F.col("hk").alias("b")).agg(F.max("hub").alias("a"))
+    first = _verified(foremost, sets, percent, "jaccard-first")
+    label = components(_as_links(first))
+    # Then with the hubs of those groups that are not of one component.
+    open_ = _open_pairs(members, label, "jaccard-open").filter("ca <> cb").select("a", "b")
+    second = _verified(open_.join(first.select("a", "b"), ["a", "b"], "left_anti"), sets, percent, "jaccard-second")
+    links = _as_links(first).unionByName(_as_links(second))
+    label = components(links)
+    # What is left: members of still open groups, outside their hub's component, against the hub's other members.
+    spokes = _open_pairs(members, label, "jaccard-spokes")
+    gaps = first.select("a", "b", "gap").unionByName(second.select("a", "b", "gap"))
     hubs_of = spokes.groupBy("b").agg(F.collect_set("a").alias("hubs"))
-    spokes = spokes.join(hubs_of, "b").join(sets.select(F.col("hk").alias("b"), "n", "profile"), "b")
-    spokes = written(spokes, "jaccard-open")
-    apart = spokes.filter("ca <> cb").select("a", *[F.col(c).alias(f"{c}_y") for c in ("b", "gap", "cb", "hubs", "n", "profile")])
-    near = spokes.select("a", *[F.col(c).alias(f"{c}_x") for c in ("b", "gap", "cb", "hubs", "n", "profile")], (F.col("ca") != F.col("cb")).alias("out"))
+    about = hubs_of.join(sets.select(F.col("hk").alias("b"), "n", "profile"), "b")
+    spokes = written(spokes.join(gaps, ["a", "b"], "left").join(about, "b"), "jaccard-about")
+    fields = ("b", "gap", "cb", "hubs", "n", "profile")
+    apart = spokes.filter("ca <> cb").select("a", *[F.col(c).alias(f"{c}_y") for c in fields])
+    near = spokes.select("a", *[F.col(c).alias(f"{c}_x") for c in fields], (F.col("ca") != F.col("cb")).alias("out"))
     most = (100 - percent) / 100 + 1e-9
     apart_by = F.aggregate(F.zip_with("profile_x", "profile_y", lambda p, q: F.abs(p.cast("int") - q.cast("int"))), F.lit(0), lambda acc, d: acc + d)
     condition = (
@@ -369,7 +386,7 @@ def _node_components(sets: DataFrame, percent: int) -> DataFrame:
         & (F.col("cb_x") != F.col("cb_y"))
         & (~F.col("out") | (F.col("b_x") < F.col("b_y")))
         & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
-        & (F.abs(F.col("gap_x") - F.col("gap_y")) <= most)
+        & (F.col("gap_x").isNull() | F.col("gap_y").isNull() | (F.abs(F.col("gap_x") - F.col("gap_y")) <= most))
         # compared before: one is a hub of the other
         & ~F.array_contains("hubs_x", F.col("b_y"))
         & ~F.array_contains("hubs_y", F.col("b_x"))
@@ -378,9 +395,8 @@ def _node_components(sets: DataFrame, percent: int) -> DataFrame:
         & ((100 + percent) * apart_by <= (100 - percent) * (F.col("n_x") + F.col("n_y")))
     )
     rest = near.join(apart, condition).select(F.greatest("b_x", "b_y").alias("a"), F.least("b_x", "b_y").alias("b")).distinct()
-    second = _verified(rest, sets, percent, "jaccard-second")
-    links = first.filter("linked").select("a", "b").unionByName(second.filter("linked").select("a", "b"))
-    return components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    third = _verified(rest, sets, percent, "jaccard-third")
+    return components(links.unionByName(_as_links(third)))
 
 
 def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
