@@ -52,7 +52,9 @@ def truncate(df: DataFrame, length: int = 24576, seed: int = 0) -> DataFrame:
 def parse_embedding(df: DataFrame) -> DataFrame:
     """Utterance and speaker embeddings as unit vectors; a missing speaker embedding is the utterance's."""
     spk = F.col("spk_embedding") if "spk_embedding" in df.columns else F.col("utt_embedding")
-    return df.withColumns({"utt_embedding": arrays.l2_normalize(F.col("utt_embedding")), "spk_embedding": arrays.l2_normalize(F.coalesce(spk, F.col("utt_embedding")))})
+    # One after the other: in one projection a lambda would see the new column of the same name.
+    out = df.withColumn("spk_embedding", arrays.l2_normalize(F.coalesce(spk, F.col("utt_embedding"))))
+    return out.withColumn("utt_embedding", arrays.l2_normalize(F.col("utt_embedding")))
 
 
 @register("shuffle")

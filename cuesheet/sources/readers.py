@@ -89,10 +89,15 @@ def transcripts_tsv(spark: SparkSession, path: str, existing: DataFrame) -> Data
 
 def audio_with_text(spark: SparkSession, folder: str, audio: str = ".wav", sidecar: str = ".normalized.txt") -> DataFrame:
     """(utt, wav, spk, text) of the audio files in the third level of a folder that have a text beside them."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
-    wav = files.filter(F.endswith("path", F.lit(audio))).select("path", F.expr(f"left(path, length(path) - {len(audio)})").alias("base"))
-    texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{sidecar}").text(folder, wholetext=True).select(F.expr(f"left(_metadata.file_path, length(_metadata.file_path) - {len(sidecar)})").alias("base"), text.strip(F.col("value")).alias("text"))
-    found = wav.join(texts.withColumn("base", F.regexp_replace("base", "^file:/+", "file:/")), "base")
+    def base(path: Column, ending: str) -> Column:
+        # The two ways in which Spark names local files differ in their slashes.
+        return F.regexp_replace(F.substr(path, F.lit(1), F.char_length(path) - len(ending)), "^file:/+", "file:/")
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    wav = files.filter(F.endswith("path", F.lit(audio))).select("path", base(F.col("path"), audio).alias("base"))
+    texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{sidecar}").text(folder, wholetext=True)
+    texts = texts.select(base(F.col("_metadata.file_path"), sidecar).alias("base"), text.strip(F.col("value")).alias("text"))
+    found = wav.join(texts, "base")
     return found.select(text.basename(F.col("base")).alias("utt"), F.col("path").alias("wav"), text.speaker_of(text.basename(F.col("base"))).alias("spk"), "text")
 
 
@@ -111,7 +116,7 @@ def message_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_inventory(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, size) of all files below a folder; contents are not read."""
+    """(path, size) of all files below a folder that are not empty; contents are not read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("size"))
 
 
