@@ -144,11 +144,11 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACES)
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the case-folded bytes of each span, in a fixed number of passes."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _VALUES) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, in a fixed number of passes; by default A-Z count as a-z."""
     up, down = _power(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUES[data] * up[: len(data)], out=total[1:])
+    np.cumsum(values[data] * up[: len(data)], out=total[1:])
     return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 

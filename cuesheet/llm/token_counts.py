@@ -18,15 +18,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from cuesheet.llm.runtime import text_pieces
+from cuesheet.llm.runtime import byte_table, separators, span_hashes, text_pieces
 
 #: White space as the Unicode property has it (Python's own \\s also takes U+001C to U+001F).
 _WS = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the byte-level pre-token pattern, with white space spelled out.
 PRETOKEN = rf"'(?:[stmd]|re|ve|ll)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
-_ASCII_SPACE = "\t\n\x0b\x0c\r"
-_OTHER_SPACE = _ASCII_SPACE + "\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
-_SPACE = frozenset(" " + _OTHER_SPACE)
+_BLANK = separators((0x09, 0x0D), (0x20, 0x20))
+#: First bytes of the white space beyond ASCII.
+_MAY_BLANK = separators((0xC2, 0xC2), (0xE1, 0xE3))
+_PLAIN = byte_table(fold_case=False)
 _NO_RANK = np.int64(1 << 40)
 
 
@@ -43,7 +44,7 @@ def byte_symbols() -> dict[int, str]:
 class ArrayBpe:
     """Counts tokens as a byte-level BPE tokenizer file (JSON) defines them, without special tokens added."""
 
-    def __init__(self, source: str, cache_entries: int = 1 << 18):
+    def __init__(self, source: str, cache_entries: int = 1 << 22):
         spec = json.loads(source)
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
         plain = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
@@ -63,9 +64,9 @@ class ArrayBpe:
         added = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
         self._added = re.compile("|".join(map(re.escape, added))) if added else None
         self._split = regex.compile(PRETOKEN).findall
-        # Two generations of counts: pieces in use go on to the next, the rest is dropped when room is short.
-        self._words: dict[str, int] = {}
-        self._older: dict[str, int] = {}
+        self._added_bytes = re.compile(b"|".join(re.escape(t.encode()) for t in added)) if added else None
+        # Counts of pieces seen lately, by hash, sorted; emptied when there is no room for more.
+        self._keys, self._counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self._entries = cache_entries
 
     def _table(self, keys: np.ndarray) -> None:
@@ -142,63 +143,94 @@ class ArrayBpe:
         parts = self._added.split(text)
         return [t for p in parts for t in self._split(p)], len(parts) - 1
 
-    def _pieces(self, text: str) -> list[str] | None:
-        """The text split at its spaces, if every space stands between two characters that are no white space.
-
-        Such a space always begins a pre-token, and no pre-token goes on over it: the count of the text is
-        that of its pieces, each (but the first) with the space before it. Else None.
-        """
-        if text[0] in _SPACE or text[-1] in _SPACE or "  " in text:
-            return None
-        for w in _OTHER_SPACE if not text.isascii() else _ASCII_SPACE:
-            if w in text and (w + " " in text or " " + w in text):
-                return None
-        return text.split(" ")
-
-    def _count_pieces(self, pieces: list[str]) -> list[int]:
-        """Tokens of each piece (none empty, none with a space) with a space before it."""
+    def _of_strings(self, texts: list[str]) -> np.ndarray:
+        """Tokens of each text, pre-token by pre-token, added tokens as such."""
+        lists, extra = zip(*(self._pretokens(t) for t in texts), strict=True) if texts else ((), ())
+        tokens = [t for part in lists for t in part]
+        sums = np.concatenate(([0], np.cumsum(self.survivors(tokens)))) if tokens else np.zeros(1, np.int64)
+        ends = np.cumsum([len(part) for part in lists], dtype=np.int64)
+        return sums[ends] - sums[ends - np.array([len(part) for part in lists], np.int64)] + np.array(extra, np.int64)
+
+    def _of_pieces(self, pieces: list[str]) -> np.ndarray:
+        """Tokens of each piece, a space and what follows it up to the next place where a text may be cut."""
+        if any(" " in p[1:] for p in pieces):
+            return self._of_strings(pieces)
         # One split for all: a pre-token that begins with a space is the first of the next piece.
-        tokens = self._split(" " + " ".join(pieces))
+        tokens = self._split("".join(pieces))
         first = np.flatnonzero(np.fromiter((t[0] == " " for t in tokens), bool, len(tokens)))
-        return np.add.reduceat(self.survivors(tokens), first).tolist()
-
-    def counts(self, texts: list[str | None]) -> list[int]:
-        """Tokens of each text; null counts as empty."""
-        words, out = self._words, [0] * len(texts)
-        plain: list[tuple[int, list[str]]] = []  # texts as lists of pre-tokens
-        split: list[tuple[int, list[str]]] = []  # texts as pieces, of which some are new
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            pieces = None if self._added is not None and self._added.search(text) else self._pieces(text)
-            if pieces is None:
-                tokens, out[i] = self._pretokens(text)
-                plain.append((i, tokens))
-                continue
-            plain.append((i, self._split(pieces[0])))
-            del pieces[0]
-            try:
-                out[i] = sum(map(words.__getitem__, pieces))
-            except KeyError:
-                split.append((i, pieces))
-        if split:
-            unseen = set().union(*(pieces for _, pieces in split)).difference(words)
-            fresh = unseen.difference(self._older)
-            words.update((p, self._older[p]) for p in unseen.difference(fresh))
-            if fresh:
-                words.update(zip(fresh, self._count_pieces(list(fresh)), strict=True))
-            for i, pieces in split:
-                out[i] = sum(map(words.__getitem__, pieces))
-        tokens = [t for _, part in plain for t in part]
-        if tokens:
-            sums = np.concatenate(([0], np.cumsum(self.survivors(tokens))))
-            ends = np.cumsum([len(part) for _, part in plain])
-            for (i, part), end in zip(plain, ends.tolist(), strict=True):
-                out[i] += int(sums[end] - sums[end - len(part)])
-        if len(words) > self._entries:
-            self._older = {p: n for p, n in words.items() if len(p) <= 64}
-            self._words = {}
-        return out
+        return np.add.reduceat(self.survivors(tokens), first)
+
+    def _known(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of sorted keys, -1 where there is none yet."""
+        at = np.minimum(np.searchsorted(self._keys, keys), len(self._keys) - 1)
+        return np.where(self._keys[at] == keys, self._counts[at], -1) if len(self._keys) else np.full(len(keys), -1, np.int64)
+
+    def _learn(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        if len(self._keys) + len(keys) > self._entries:
+            self._keys, self._counts = keys, counts
+            return
+        both = np.concatenate([self._keys, keys])
+        order = np.argsort(both, kind="stable")
+        self._keys, self._counts = both[order], np.concatenate([self._counts, counts])[order]
+
+    def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Tokens of each text; data: their UTF-8 bytes, one after another, offsets: where they begin.
+
+        A space between two characters that are no white space always begins a pre-token, and no pre-token goes on
+        over it. Texts are cut there, and each distinct piece (by a 64-bit hash of its bytes) is counted once.
+        """
+        n = len(data)
+        out = np.zeros(len(offsets) - 1, np.int64)
+        if not n:
+            return out
+        if self._added is not None and (whole := data.tobytes()) and self._added_bytes.search(whole):
+            # Texts with added tokens are counted apart.
+            apart = [i for i in range(len(out)) if self._added_bytes.search(whole[offsets[i] : offsets[i + 1]])]
+            out[apart] = self._of_strings([whole[offsets[i] : offsets[i + 1]].decode() for i in apart])
+            keep = np.ones(len(out), bool)
+            keep[apart] = False
+            parts = [data[offsets[i] : offsets[i + 1]] for i in np.flatnonzero(keep)]
+            rest = np.concatenate(([0], np.cumsum([len(x) for x in parts], dtype=np.int64)))
+            out[keep] = self.counts(np.concatenate(parts) if parts else data[:0], rest)
+            return out
+        inside = np.flatnonzero(data == 0x20)
+        inside = inside[(inside > 0) & (inside + 1 < n)]
+        before, after = data[inside - 1], data[inside + 1]
+        # Neighbours that are, or by their first bytes may be, white space: no cut there.
+        open_ = ~_BLANK[before] & ~_BLANK[after] & ~_MAY_BLANK[after]
+        wide = before >= 0x80
+        wide[wide] = (data[inside[wide] - 2] == 0xC2) | _MAY_BLANK[data[np.maximum(inside[wide] - 3, 0)]]
+        edge = np.zeros(n + 1, bool)
+        edge[inside[open_ & ~wide]] = True
+        starts_at = offsets[:-1][np.diff(offsets) > 0]
+        edge[starts_at] = True  # also where a text begins with a space: then that space was cut at anyway
+        starts = np.flatnonzero(edge[:n])
+        ends = np.append(starts[1:], n)
+        keys = span_hashes(data, starts, ends, _PLAIN)
+        # A text's first piece has no space before it, unless it begins with one; it is told apart by its hash.
+        distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        found = self._known(distinct)
+        fresh = np.flatnonzero(found < 0)
+        if len(fresh):
+            raw = data.tobytes()
+            texts = [raw[starts[i] : ends[i]].decode() for i in first[fresh].tolist()]
+            led = np.fromiter((t[0] == " " for t in texts), bool, len(texts))
+            made = np.zeros(len(texts), np.int64)
+            if led.any():
+                made[led] = self._of_pieces([t for t in texts if t[0] == " "])
+            if not led.all():
+                made[~led] = self._of_strings([t for t in texts if t[0] != " "])
+            found[fresh] = made
+            self._learn(distinct[fresh], made)
+        total = np.concatenate(([0], np.cumsum(found[back])))
+        at = np.searchsorted(starts, offsets)
+        return total[at[1:]] - total[at[:-1]]
+
+    def counts_of(self, texts: list[str | None]) -> list[int]:
+        """counts of strings; null counts as empty."""
+        raw = [(t or "").encode() for t in texts]
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in raw], dtype=np.int64)))
+        return self.counts(np.frombuffer(b"".join(raw), np.uint8), offsets).tolist()
 
 
 _loaded: dict[int, ArrayBpe] = {}
@@ -229,9 +261,8 @@ def count_tokens(df: DataFrame, tokenizer_path: str, limit: int = 1024, id_col:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(source.value)
         for batch in batches:
-            texts = batch.column(1)
-            for first, end, _, offsets in text_pieces(batch, "text", 1 << 22):
-                n = np.array(counter.counts(texts.slice(first, end - first).to_pylist()), np.int64)
+            for first, end, data, offsets in text_pieces(batch, "text", 1 << 22):
+                n = counter.counts(data, offsets)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, end - first), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)],
                     names=[id_col, "n_bytes", "n_tokens", "over_limit"],
