@@ -160,25 +160,33 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id",
 def remove_spans(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs whose text has lost the benchmark words that any window hits; rows without hits stay as they are.
 
-    What stands between two words that stay is kept once: the gap before each removed word goes with it.
+    A removed word takes the character after it along. Row order and other columns stay.
     """
     found = find_windows(docs, bench, id_col, text_col, **options).filter(F.size("spans") > 0)
-    found = found.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), hit_words(F.col("spans")).alias("__hit"))
-    text = F.col(text_col).cast("string")
-    left = docs.withColumn("__key", F.xxhash64(F.coalesce(text, F.lit("")), text.isNull()))
-    both = left.join(found, left[id_col].eqNullSafe(found["__id"]) & (left["__key"] == found["__hash"]), "left")
+    found = found.select(F.col("id").alias("found_id"), F.col("text_hash").alias("found_hash"), hit_words(F.col("spans")).alias("hit"))
+    # The row goes along as one struct, so that names of its columns meet none of those used here.
+    text = docs[text_col].cast("string")
+    left = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+        docs[id_col].alias("row_id"),
+        text.alias("body"),
+        F.xxhash64(F.coalesce(text, F.lit("")), text.isNull()).alias("row_hash"),
+    )
+    both = left.join(found, F.col("row_id").eqNullSafe(F.col("found_id")) & (F.col("row_hash") == F.col("found_hash")), "left")
     # Folding keeps lengths, so the pieces of the folded text give the places of words in the text itself.
-    pieces = F.split(fold(F.col(text_col)), " ")
     start = F.struct(F.lit(1).alias("at"), F.lit(0).alias("word"), F.lit("").alias("out"))
+
     def step(acc: Column, piece: Column) -> Column:
         is_word = piece != ""
-        gone = is_word & F.array_contains(F.col("__hit"), acc["word"])
+        gone = is_word & F.array_contains(F.col("hit"), acc["word"])
         size = F.char_length(piece)
-        kept = F.substr(F.col(text_col), acc["at"], size + 1)
+        kept = F.substr(F.col("body"), acc["at"], size + 1)
         return F.struct(
             (acc["at"] + size + 1).alias("at"),
             (acc["word"] + is_word.cast("int")).alias("word"),
             F.concat(acc["out"], F.when(gone, F.lit("")).otherwise(kept)).alias("out"),
         )
-    clean = F.aggregate(pieces, start, step, lambda acc: acc["out"])
-    return both.withColumn(text_col, F.when(F.col("__hit").isNotNull(), clean).otherwise(F.col(text_col))).select(*docs.columns)
+
+    clean = F.aggregate(F.split(fold(F.col("body")), " "), start, step, lambda acc: acc["out"])
+    new_text = F.when(F.col("hit").isNotNull(), clean).otherwise(F.col("body"))
+    return both.select(*[(new_text if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
