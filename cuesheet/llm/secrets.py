@@ -176,7 +176,8 @@ def scan(df: DataFrame, id_col: str, text_col: str, settings: Settings) -> DataF
         for batch in batches:
             texts = batch.column(1)
             for first, end, data, offsets in text_pieces(batch, "text"):
-                seen += np.bincount(data, minlength=256)
+                # A run of one character counts once, so that rules and fillers do not pass for letters.
+                seen += np.bincount(data[np.concatenate(([True], data[1:] != data[:-1]))] if len(data) else data, minlength=256)
                 size = end - first
                 long_hex = _runs_per_text(_HEX_BYTES[data], offsets, 24)
                 marked = _any_per_text(_MARKS[data], offsets)
