@@ -13,31 +13,45 @@ MESSAGE = "type string, source string, start double, end double, text string, la
 PROJECT = "name string, created_at string, updated_at string, video_path string, workspace_dir string, steps map<string,string>, step_data map<string,string>, history array<struct<timestamp:string,step:string,action:string,detail:string>>"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once: a Column that is used twice is otherwise written out twice."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def json_array(raw: Column, expected: Column, clean=text.clean_commentary) -> Column:
     """struct<ok array<string>, err string> of the outermost JSON array in a text.
 
     Errors: `no array`, `not json`, `wrong length`, `not a string`, `empty item`; the first that holds. Code
     fences are removed; items are cleaned.
     """
+
+    def outermost(t: Column) -> Column:
+        start = F.call_function("instr", t, F.lit("["))
+        end = F.char_length(t) - F.call_function("instr", F.reverse(t), F.lit("]")) + 1
+        return F.when((start > 0) & F.contains(t, F.lit("]")) & (end > start), F.substr(t, start, end - start + 1))
+
+    def checked(found: Column) -> Column:
+        items = found["items"]
+        # Items keep their JSON text: a string is told from a number by the type of the parsed value.
+        shape = (
+            F.when(found["body"].isNull(), "no array")
+            .when(found["kind"].isNull() | items.isNull(), "not json")
+            .when(F.size(items) != expected, "wrong length")
+            .when((found["kind"] != "ARRAY<STRING>") & (F.size(items) > 0), "not a string")
+        )
+        good = F.when(shape.isNull(), F.transform(items, lambda x: clean(x)))
+        return F.struct(shape.alias("shape"), good.alias("good"))
+
+    def verdict(r: Column) -> Column:
+        err = F.coalesce(r["shape"], F.when(F.exists(r["good"], lambda x: F.coalesce(x, F.lit("")) == ""), "empty item"))
+        return F.struct(F.when(err.isNull(), r["good"]).alias("ok"), err.alias("err"))
+
+    def parsed(body: Column) -> Column:
+        items = F.from_json(F.concat(F.lit('{"a":'), body, F.lit("}")), "a array<string>").getField("a")
+        return F.struct(body.alias("body"), F.schema_of_variant(F.try_parse_json(body)).alias("kind"), items.alias("items"))
+
     t = text.strip(F.regexp_replace(raw, r"```(?:json)?\s*", ""))
-    start = F.call_function("instr", t, F.lit("["))
-    end = F.char_length(t) - F.call_function("instr", F.reverse(t), F.lit("]")) + 1
-    has = (start > 0) & F.contains(t, F.lit("]")) & (end > start)
-    body = F.when(has, F.substr(t, start, end - start + 1))
-    # Items keep their JSON text: a string is told from a number by its quotation mark.
-    variant = F.try_parse_json(body)
-    items = F.from_json(F.when(variant.isNotNull(), F.concat(F.lit('{"a":'), body, F.lit("}"))), "a array<string>").getField("a")
-    kinds = F.schema_of_variant(variant)
-    strings = (kinds == "ARRAY<STRING>") | (F.size(items) == 0)
-    shape = (
-        F.when(~F.coalesce(has, F.lit(False)), "no array")
-        .when(variant.isNull() | items.isNull(), "not json")
-        .when(F.size(items) != expected, "wrong length")
-        .when(~strings, "not a string")
-    )
-    cleaned = F.when(shape.isNull(), F.transform(items, lambda x: clean(x)))
-    err = F.coalesce(shape, F.when(F.exists(cleaned, lambda x: F.coalesce(x, F.lit("")) == ""), "empty item"))
-    return F.struct(F.when(err.isNull(), cleaned).alias("ok"), err.alias("err"))
+    return _let(t, lambda t: _let(outermost(t), lambda b: _let(parsed(b), lambda p: _let(checked(p), verdict))))
 
 
 def messages(lines: DataFrame, column: str = "value") -> DataFrame:
