@@ -279,7 +279,8 @@ def partenum(s: np.ndarray, percent: int = PERCENT, k2: int = K2, n2: int = N2,
     n = len(s)
     ends = band_ends(percent, n)
     band = int(np.searchsorted(ends, n))
-    total = np.concatenate(([0], np.cumsum(mix64(s + np.uint64(1)), dtype=np.uint64))).astype(np.uint64)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix64(s + np.uint64(1)), out=total[1:])
     high = s >> np.uint64(16)
     out = []
     for j in (band, band + 1):
@@ -352,7 +353,13 @@ def _open_pairs(members: DataFrame, label: DataFrame, name: str) -> DataFrame:
 
 
 def _as_links(pairs: DataFrame) -> DataFrame:
-    return pairs.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return pairs.filter("linked").select("a", "b")
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, component) as hk; a component is named by its foremost node, as hubs have the largest hk."""
+    found = components(links.select((-F.col("a")).alias("u"), (-F.col("b")).alias("v")))
+    return found.select((-F.col("node")).alias("node"), (-F.col("component")).alias("component"))
 
 
 def _node_components(sets: DataFrame, percent: int) -> DataFrame:
@@ -364,12 +371,12 @@ def _node_components(sets: DataFrame, percent: int) -> DataFrame:
     # First every node with the foremost of its hubs: mostly that settles its component.
     foremost = members.filter("hk <> hub").groupBy(F.col("hk").alias("b")).agg(F.max("hub").alias("a"))
     first = _verified(foremost, sets, percent, "jaccard-first")
-    label = components(_as_links(first))
+    label = _labels(_as_links(first))
     # Then with the hubs of those groups that are not of one component.
     open_ = _open_pairs(members, label, "jaccard-open").filter("ca <> cb").select("a", "b")
     second = _verified(open_.join(first.select("a", "b"), ["a", "b"], "left_anti"), sets, percent, "jaccard-second")
     links = _as_links(first).unionByName(_as_links(second))
-    label = components(links)
+    label = _labels(links)
     # What is left: members of still open groups, outside their hub's component, against the hub's other members.
     spokes = _open_pairs(members, label, "jaccard-spokes")
     gaps = first.select("a", "b", "gap").unionByName(second.select("a", "b", "gap"))
@@ -396,7 +403,8 @@ def _node_components(sets: DataFrame, percent: int) -> DataFrame:
     )
     rest = near.join(apart, condition).select(F.greatest("b_x", "b_y").alias("a"), F.least("b_x", "b_y").alias("b")).distinct()
     third = _verified(rest, sets, percent, "jaccard-third")
-    return components(links.unionByName(_as_links(third)))
+    more = _as_links(third)
+    return _labels(links.unionByName(more)) if more.limit(1).count() else label
 
 
 def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -32,13 +32,26 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._cuesheet_shared
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in this application's folder below the shared one, which goes when the driver ends."""
+    sc = spark.sparkContext
+    base = f"{shared_dir(spark)}/cuesheet-{sc.applicationId}"
+    if not hasattr(sc, "_cuesheet_folder"):
+        folder = sc._jvm.org.apache.hadoop.fs.Path(base)
+        fs = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
+        sc._cuesheet_folder = base
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: lineage ends there.
 
     A lost executor costs the tasks it ran, not the stages behind the written table.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cuesheet/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)

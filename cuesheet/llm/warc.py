@@ -9,7 +9,6 @@ a gzip stream of whole records; readers follow Content-Length, so payloads may h
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm.runtime import shared_dir, written
+from cuesheet.llm.runtime import fresh_path, written
 
 EOL = "\r\n"
 URN = "urn:cuesheet:record:"
@@ -232,7 +231,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url",
     id. Null ids come back as null. Extra columns are not read. An empty table gives no rows.
     """
     spark = pages.sparkSession
-    path = path or f"{shared_dir(spark)}/cuesheet/warc-{uuid.uuid4().hex}"
+    path = path or fresh_path(spark, "warc")
     write_archives(deduplicated(with_headers(pages, id_col, uri_col, payload_col), min_bytes), path)
     out = joined_revisits(read_archives(spark, path))
     kind = pages.schema[id_col].dataType
