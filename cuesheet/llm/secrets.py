@@ -32,9 +32,10 @@ LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
 
 _HEX_BYTES = separators((0x30, 0x39), (0x61, 0x66))
-_TOKEN_BYTES = separators((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x2B, 0x2B), (0x2F, 0x2F), (0x5F, 0x5F), (0x2D, 0x2D), (0x3D, 0x3D))
+_TOKEN_BYTES = separators((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x2B, 0x2B), (0x2F, 0x2F), (0x5F, 0x5F), (0x2D, 0x2D))
 _MARKS = separators((0x3A, 0x3A), (0x3D, 0x3D))
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+")
+#: '=' ends a token, as padding or between a name and its value: both sides are tested by themselves.
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]+")
 
 _DIGITS, _LOW, _UP = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Alphabets by size; the first that has all characters of a token is its encoding.
@@ -83,7 +84,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def encoding_of(token: str) -> str | None:
-    """The smallest alphabet that has every character of the token, padding aside."""
+    """The smallest alphabet that has every character of the token."""
     chars = set(token)
     return next((name for name, known in _SETS.items() if chars <= known), None)
 
@@ -193,15 +194,14 @@ def scan(df: DataFrame, id_col: str, text_col: str, settings: Settings) -> DataF
                     if tokens_in[i]:
                         rows, chis = [], []
                         for m in TOKEN.finditer(text):
-                            token = m[0].rstrip("=").lstrip("=")
+                            token = m[0]
                             if len(token) < settings.min_length or any(a < m.end() and m.start() < b for a, _, b in spans):
                                 continue
                             encoding = encoding_of(token)
                             if encoding is None:
                                 continue
                             chi, p = battery(token, encoding)
-                            start = m.start() + len(m[0]) - len(m[0].lstrip("="))
-                            rows += [start, start + len(token), names.index(encoding), int(p >= settings.battery)]
+                            rows += [m.start(), m.end(), names.index(encoding), int(p >= settings.battery)]
                             chis.append(chi)
                         out[1][i], out[2][i] = rows, chis
                 longs = pa.list_(pa.int64())

@@ -161,3 +161,22 @@ def test_thresholds_are_the_step_up():
     assert sum(x <= edge for x in p) <= sum(x <= exact for x in p)
     assert sum(10 ** (-0.1 * int(-np.log10(x) / 0.1)) <= edge for x in p) >= 0.8 * sum(x <= exact for x in p)
     assert secrets.thresholds({}, 0.05) == {}
+
+
+def test_random_values_of_names_are_found(spark):
+    rnd = random.Random(2)
+    names = ["AWS_KEY=", "sig=", "private_key=", "a=b=", "x==", ""]
+    texts, planted = [], {}
+    for i in range(400):
+        t = " ".join(rnd.choices(["the", "there", "of", "andthehouseofthefreeandbrave", "x=internationalization-of-things/and/more"], k=50))
+        if i % 8 == 0:
+            planted[i] = "".join(rnd.choices(string.ascii_letters + string.digits, k=rnd.choice([40, 64, 100])))
+            t += f" {names[i // 8 % 6]}{planted[i]}{rnd.choice(['', '=', '=='])} end"
+        texts.append(t)
+    rows = {r.doc_id: r for r in secrets.find_secrets(documents(spark, texts)).collect()}
+    named = {i for i in planted if i // 8 % 6 < 5}
+    assert sum(rows[i].n_random for i in named) >= 0.9 * len(named) and sum(r.n_random for i, r in rows.items() if i not in planted) <= 1
+    for i in planted:
+        for part in filter(None, rows[i].spans.split(",")):
+            kind, a, b = part.split(":")
+            assert kind == "random" and texts[i][int(a) : int(b)] == planted[i]
