@@ -38,7 +38,6 @@ class Settings:
     smoothing: float = 0.5
     temper: float = 0.5
     penalty: float = 3.0
-    most_languages: int = 3
     tolerance: float = 1e-3
     iterations: int = 30
 
@@ -120,7 +119,7 @@ class MixtureModel:
         score = np.full(len(has), -np.inf)
         result = np.zeros_like(best)
         doubtful = np.arange(len(has))
-        for k in range(1, min(self.settings.most_languages, like.shape[1]) + 1):
+        for k in range(1, like.shape[1] + 1):
             if not len(doubtful):
                 break
             sub_n = n[doubtful]
@@ -134,7 +133,7 @@ class MixtureModel:
             # One more language must explain some words: a text that has none for it is settled.
             if k < like.shape[1]:
                 following = np.take_along_axis(best[doubtful], order[doubtful, k : k + 1], axis=1)[:, 0]
-                doubtful = doubtful[better & (following * sub_n >= 1.0)]
+                doubtful = doubtful[following * sub_n >= 1.0]
         out[has] = result
         return out
 

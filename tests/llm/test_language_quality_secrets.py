@@ -49,6 +49,18 @@ def test_mixtures_and_edges(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id < 6) == [0, 1]
 
 
+def test_more_languages_than_three(spark):
+    rnd = random.Random(6)
+    bases = {f"l{i}": " ".join("".join(rnd.choices(letters, k=6)) for _ in range(25)) for i, letters in enumerate(("abcde", "fghij", "klmno", "pqrst", "uvwxyz"))}
+    docs = documents(spark, [(i, sentence(rnd, bases[f"l{i % 5}"], 30), f"l{i % 5}") for i in range(60)])
+    model = langid.learn(docs, "lang", "text", "doc_id")
+    texts = [" ".join(sentence(rnd, bases[f"l{j}"], 30) for j in range(k)) for k in range(1, 6)]
+    for r in langid.predict(documents(spark, texts), model).collect():
+        k = r.doc_id + 1
+        assert r.n_languages == k and r.score == pytest.approx(1 / k, abs=0.02)
+        assert {g: p for g, p in r.proportions.items() if p > 0} == {f"l{j}": pytest.approx(1 / k, abs=0.02) for j in range(k)}
+
+
 def test_nothing_to_learn_from(spark):
     none = langid.learn(labelled(spark).filter("lang is null"), "lang", "text", "doc_id")
     assert none is None
