@@ -34,7 +34,7 @@ SELECT conv_id, turn, CASE WHEN turn % 4 = 3 OR (length(t) > 60 AND length(origi
 
 def clean_commentary(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir)
-    raw = F.concat(F.lit("<|im_start|>\n1. "), F.substring("text", 1, 40), F.lit(" (a note)\n说明：x"))
+    raw = F.concat(F.lit("<|im_start|>\n1. "), F.col("text"), F.lit(" (a note)\n说明：x"))
     return d.select("doc_id", text.clean_commentary(raw).alias("line"))
 
 
