@@ -221,15 +221,12 @@ def _bitmap(nodes: DataFrame) -> np.ndarray:
 
 
 def _packed(s: np.ndarray) -> bytes:
-    """The upper 48 bits of each hash, sorted, six bytes each."""
-    return np.ascontiguousarray((s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    """The hashes, sorted, eight bytes each."""
+    return s.astype("<u8").tobytes()
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    six = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(six), 8), np.uint8)
-    out[:, :6] = six
-    return out.view("<u8").reshape(-1)
+    return np.frombuffer(raw, "<u8")
 
 
 def _profile(s: np.ndarray) -> list[int]:
@@ -275,13 +272,13 @@ def differences(a: int, b: int, percent: int) -> int:
 
 
 def partenum(s: np.ndarray, percent: int = PERCENT, k2: int = K2, n2: int = N2, spare: float = SPARE) -> np.ndarray:
-    """The signatures of a set of 48-bit hashes, sorted: those of its own band and of the next."""
+    """The signatures of a set of 64-bit hashes, sorted: those of its own band and of the next."""
     n = len(s)
     ends = band_ends(percent, n)
     band = int(np.searchsorted(ends, n))
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(mix64(s + np.uint64(1)), out=total[1:])
-    high = s >> np.uint64(16)
+    high = s >> np.uint64(32)
     out = []
     for j in (band, band + 1):
         r = ends[j]
@@ -414,7 +411,8 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     word-less text has an empty set, links with nothing and is its own component; so is every document
     without a similar one. Rows with a null id are reported with a null component and link with nothing.
     Ids are taken to be unique; rows that repeat an id and text have equal sets and thus one component.
-    Sets are of 64-bit hashes; overlaps are counted on 48 of those bits. Other columns are not read.
+    Sets are of 64-bit hashes of the bytes of shingles, and overlaps are counted on all of those bits.
+    Other columns are not read.
     """
     if not isinstance(df.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
         raise ValueError(f"{id_col} must be an integer")

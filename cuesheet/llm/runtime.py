@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -105,7 +106,8 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers, at least, of an odd base and of its inverse, modulo 2^64."""
     if len(_powers.get("up", ())) < n:
         size = max(n, 1 << 21)
         for key, base in (("up", _BASE), ("down", _INVERSE)):
@@ -115,17 +117,6 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def byte_table(fold_case: bool = True) -> np.ndarray:
-    """A 64-bit value per byte; A-Z share those of a-z when case is folded."""
-    values = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    if fold_case:
-        values[65:91] = values[97:123]
-    return values
-
-
-_VALUES = byte_table()
-
-
 def separators(*ranges: tuple[int, int]) -> np.ndarray:
     table = np.zeros(256, bool)
     for low, high in ranges:
@@ -157,12 +148,56 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACES)
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _VALUES) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, in a fixed number of passes; by default A-Z count as a-z."""
-    up, down = _power(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * up[: len(data)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: What is left of a chunk of 8 bytes that has 0 to 8 bytes of a span.
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_CHUNKS = 4
+_LENGTH = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _chunks(data: np.ndarray, fold_case: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes, A-Z as a-z if asked for, and the 8 bytes from each of them on as one number."""
+    body = np.zeros(len(data) + 8, np.uint8)
+    body[: len(data)] = _LOWER[data] if fold_case else data
+    return body, np.ndarray((len(data) + 1,), "<u8", body.data, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold_case: bool = True, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; A-Z count as a-z if case is folded.
+
+    Spans of up to 32 bytes are mixed in chunks of 8, each chunk by a bijection of the hash so far, so that no
+    two spans of at most 8 bytes and equal length collide; longer ones take BLAKE2b. Other seeds give
+    independent hashes.
+    """
+    body, chunk = _chunks(data, fold_case)
+    size = ends - starts
+    out = mix64(size.astype(np.uint64) * _LENGTH + np.uint64(seed * 0xD1B54A32D192ED03 & (1 << 64) - 1))
+    out = mix64(out ^ (chunk[starts] & _TAIL[np.minimum(size, 8)]))
+    for k in range(1, _CHUNKS):
+        rest = np.flatnonzero(size > 8 * k)
+        if not len(rest):
+            return out
+        out[rest] = mix64(out[rest] ^ (chunk[starts[rest] + 8 * k] & _TAIL[np.minimum(size[rest] - 8 * k, 8)]))
+    salt = seed.to_bytes(8, "little")
+    for i in np.flatnonzero(size > 8 * _CHUNKS).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(body[starts[i] : ends[i]], digest_size=8, salt=salt).digest(), "little")
+    return out
+
+
+def equal_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each span has the very bytes of the span with the number in `other`."""
+    body, chunk = _chunks(data, fold_case=False)
+    size, at = ends - starts, starts[other]
+    out = size == size[other]
+    for k in range(_CHUNKS):
+        rest = np.flatnonzero(out & (size > 8 * k) & (at != starts))
+        if not len(rest):
+            return out
+        out[rest] = (chunk[starts[rest] + 8 * k] ^ chunk[at[rest] + 8 * k]) & _TAIL[np.minimum(size[rest] - 8 * k, 8)] == 0
+    for i in np.flatnonzero(out & (size > 8 * _CHUNKS) & (at != starts)).tolist():
+        out[i] = np.array_equal(body[starts[i] : ends[i]], body[at[i] : at[i] + size[i]])
+    return out
 
 
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)

@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from cuesheet.llm.runtime import byte_table, separators, span_hashes, text_pieces
+from cuesheet.llm.runtime import equal_spans, separators, span_hashes, text_pieces
 
 #: White space as the Unicode property has it (Python's own \\s also takes U+001C to U+001F).
 _WS = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -27,7 +27,6 @@ PRETOKEN = rf"'(?:[stmd]|re|ve|ll)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}
 _BLANK = separators((0x09, 0x0D), (0x20, 0x20))
 #: First bytes of the white space beyond ASCII.
 _MAY_BLANK = separators((0xC2, 0xC2), (0xE1, 0xE3))
-_PLAIN = byte_table(fold_case=False)
 _NO_RANK = np.int64(1 << 40)
 
 
@@ -65,8 +64,8 @@ class ArrayBpe:
         self._added = re.compile("|".join(map(re.escape, added))) if added else None
         self._split = regex.compile(PRETOKEN).findall
         self._added_bytes = re.compile(b"|".join(re.escape(t.encode()) for t in added)) if added else None
-        # Counts of pieces seen lately, by hash, sorted; emptied when there is no room for more.
-        self._keys, self._counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        # Counts of pieces seen lately, by two hashes, sorted by the first; emptied when there is no room for more.
+        self._keys, self._checks, self._counts = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self._entries = cache_entries
 
     def _table(self, keys: np.ndarray) -> None:
@@ -160,24 +159,40 @@ class ArrayBpe:
         first = np.flatnonzero(np.fromiter((t[0] == " " for t in tokens), bool, len(tokens)))
         return np.add.reduceat(self.survivors(tokens), first)
 
-    def _known(self, keys: np.ndarray) -> np.ndarray:
+    def _known(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
         """Counts of sorted keys, -1 where there is none yet."""
+        if not len(self._keys):
+            return np.full(len(keys), -1, np.int64)
         at = np.minimum(np.searchsorted(self._keys, keys), len(self._keys) - 1)
-        return np.where(self._keys[at] == keys, self._counts[at], -1) if len(self._keys) else np.full(len(keys), -1, np.int64)
+        return np.where((self._keys[at] == keys) & (self._checks[at] == checks), self._counts[at], -1)
 
-    def _learn(self, keys: np.ndarray, counts: np.ndarray) -> None:
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, counts: np.ndarray) -> None:
         if len(self._keys) + len(keys) > self._entries:
-            self._keys, self._counts = keys, counts
+            self._keys, self._checks, self._counts = keys, checks, counts
             return
         both = np.concatenate([self._keys, keys])
         order = np.argsort(both, kind="stable")
-        self._keys, self._counts = both[order], np.concatenate([self._counts, counts])[order]
+        self._keys, self._checks, self._counts = both[order], np.concatenate([self._checks, checks])[order], np.concatenate([self._counts, counts])[order]
+
+    def _of_spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Tokens of each of the spans, which are pieces."""
+        raw = data.tobytes()
+        texts = [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        # A text's first piece has no space before it, unless it begins with one.
+        led = np.fromiter((t[0] == " " for t in texts), bool, len(texts))
+        made = np.zeros(len(texts), np.int64)
+        if led.any():
+            made[led] = self._of_pieces([t for t in texts if t[0] == " "])
+        if not led.all():
+            made[~led] = self._of_strings([t for t in texts if t[0] != " "])
+        return made
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each text; data: their UTF-8 bytes, one after another, offsets: where they begin.
 
         A space between two characters that are no white space always begins a pre-token, and no pre-token goes on
-        over it. Texts are cut there, and each distinct piece (by a 64-bit hash of its bytes) is counted once.
+        over it. Texts are cut there, and each distinct piece is counted once. Pieces of equal hash are compared byte by
+        byte; counts of earlier calls are taken where 128 bits of hash are equal.
         """
         n = len(data)
         out = np.zeros(len(offsets) - 1, np.int64)
@@ -206,23 +221,19 @@ class ArrayBpe:
         edge[starts_at] = True  # also where a text begins with a space: then that space was cut at anyway
         starts = np.flatnonzero(edge[:n])
         ends = np.append(starts[1:], n)
-        keys = span_hashes(data, starts, ends, _PLAIN)
-        # A text's first piece has no space before it, unless it begins with one; it is told apart by its hash.
+        keys = span_hashes(data, starts, ends, fold_case=False)
         distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        found = self._known(distinct)
+        checks = span_hashes(data, starts[first], ends[first], fold_case=False, seed=1)
+        found = self._known(distinct, checks)
         fresh = np.flatnonzero(found < 0)
         if len(fresh):
-            raw = data.tobytes()
-            texts = [raw[starts[i] : ends[i]].decode() for i in first[fresh].tolist()]
-            led = np.fromiter((t[0] == " " for t in texts), bool, len(texts))
-            made = np.zeros(len(texts), np.int64)
-            if led.any():
-                made[led] = self._of_pieces([t for t in texts if t[0] == " "])
-            if not led.all():
-                made[~led] = self._of_strings([t for t in texts if t[0] != " "])
-            found[fresh] = made
-            self._learn(distinct[fresh], made)
-        total = np.concatenate(([0], np.cumsum(found[back])))
+            found[fresh] = self._of_spans(data, starts[first[fresh]], ends[first[fresh]])
+            self._learn(distinct[fresh], checks[fresh], found[fresh])
+        each = found[back]
+        odd = np.flatnonzero(~equal_spans(data, starts, ends, first[back]))
+        if len(odd):
+            each[odd] = self._of_spans(data, starts[odd], ends[odd])
+        total = np.concatenate(([0], np.cumsum(each)))
         at = np.searchsorted(starts, offsets)
         return total[at[1:]] - total[at[:-1]]
 
