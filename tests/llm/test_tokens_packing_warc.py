@@ -147,6 +147,41 @@ def test_round_trip(spark, tmp_path):
     assert warc.round_trip(df.limit(0), path=f"file://{tmp_path}/e").count() == 0
 
 
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(5, "A"), (5, "A"), (3, "A"), (1, "x")],
+        [(5, "A"), (5, "B"), (3, "A")],
+        [(5, "A"), (5, "B"), (3, "A"), (3, "B"), (3, "B"), (None, "A"), (None, "A"), (None, None), (None, "B"), (2, "x"), (2, "x")],
+    ],
+)
+def test_repeated_ids(spark, tmp_path, rows):
+    """As in plain Python: a row each, whatever ids and payloads repeat, and no two records of one name."""
+    rows = [(i, f"http://{n}", p and (p * (2500 if p == "B" else 1500) if p < "a" else p)) for n, (i, p) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    out = warc.round_trip(df, path=f"file://{tmp_path}/w")
+    assert rows_of(out, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == expected_records(rows)
+    heads = [h for f in (tmp_path / "w").glob("*.gz") for h, _ in warc.parse(f.read_bytes())]
+    names = {h["warc-record-id"]: h for h in heads}
+    assert len(names) == len(heads) == len(rows) == len({h["warc-target-uri"] for h in heads})
+    for h in heads:
+        if "warc-refers-to" in h:
+            to = names[h["warc-refers-to"]]
+            assert to["warc-type"] == "response" and to["warc-payload-digest"] == h["warc-payload-digest"]
+    warc.dedupe_archives(spark, f"file://{tmp_path}/w", f"file://{tmp_path}/x")
+    again = warc.joined_revisits(warc.read_archives(spark, f"file://{tmp_path}/x"))
+    assert rows_of(again.withColumn("page_id", F.col("record_id").cast("long")), "page_id", "payload_bytes", "digest") == sorted([r[:3] for r in expected_records(rows)], key=repr)
+
+
+def test_files_hold_fewer_large_records(spark, tmp_path):
+    rows = [(i, "u", ("abcd" * n)[:n] + str(i)) for i, n in enumerate([10, 20, 30, 70_000, 80_000, 2_000_000, 2_000_000, 17_000_000])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    out = warc.round_trip(df, path=f"file://{tmp_path}/w")
+    assert rows_of(out, "page_id", "payload_bytes") == sorted((i, len(h)) for i, _, h in rows)
+    held = sorted([h["warc-record-id"].split(":")[3] for h, _ in warc.parse(f.read_bytes())] for f in (tmp_path / "w").glob("*.gz"))
+    assert held == [["0", "1", "2"], ["3", "4"], ["5", "6"], ["7"]]
+
+
 def test_archives_are_deduplicated_anew(spark, tmp_path):
     def record(kind, name, payload, to=None):
         block = b"HTTP/1.1 200 OK\r\n\r\n" + payload
