@@ -1,6 +1,7 @@
 """Benchmark decontamination: a broadcast hash set of test n-grams, token windows, verified hits.
 
-All DataFrame functions, and one pass over the documents without a shuffle of text:
+All DataFrame functions, and one pass over the documents without a shuffle of text. The words of a document
+are taken in blocks that overlap by a window less a word, so time grows with the length of a text, not its square:
 
 1. A window of m words contains, at one of the document positions that are a multiple of s, a whole
    g-gram, where g = ceil(m / 2) and s = m - g + 1. So one probe in s positions finds every window.
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 from cuesheet.llm.runtime import LOWER, UPPER
 
 WINDOW = 13
-#: Bytes of benchmark windows up to which they are broadcast.
+#: Bytes of benchmark windows, and of their hash set, up to which they are broadcast.
 BROADCAST_BYTES = 64 << 20
+#: Words of a document at which windows of one block begin.
+BLOCK = 512
 
 _GAPS = "".join(chr(c) for r in ((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)) for c in range(r[0], r[1] + 1))
 
@@ -51,15 +54,17 @@ def benchmark_windows(bench: DataFrame, id_col: str = "item_id", text_col: str =
 
 
 def _fits(df: DataFrame, limit: int) -> bool:
-    size = df.agg(F.sum(F.octet_length("win") + 16 + 16 * F.size("items"))).first()[0]
-    return (size or 0) <= limit
+    """Whether the windows, and apart from them 16 bytes for each gram that they have, are within the limit."""
+    grams = 16 * (F.col("m") - F.floor((F.col("m") + 1) / 2) + 1)
+    sizes = df.agg(F.sum(F.octet_length("win") + 16 + 16 * F.size("items")), F.sum(grams)).first()
+    return max(sizes[0] or 0, sizes[1] or 0) <= limit
 
 
 def _probes(m: int) -> Column:
-    """(m, position from 0, hash) of the g-gram at every s-th word."""
+    """(m, position from 0 in the block, hash) of the g-gram at every s-th word of a block."""
     g = (m + 1) // 2
     s = m - g + 1
-    at = F.sequence(F.lit(0), F.floor((F.col("n_words") - g) / s).cast("int"))
+    at = F.sequence(F.lit(0), F.floor((F.size("w") - g) / s).cast("int"))
     return F.transform(at, lambda i: F.struct(F.lit(m).alias("m"), (i * s).alias("at"), F.xxhash64(F.lit(m), _gram(F.col("w"), i * s + 1, g)).alias("h")))
 
 
@@ -92,28 +97,32 @@ def find_windows(
     spread = F.broadcast if small else (lambda df: df)
 
     text = F.col(text_col).cast("string")
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit("")), text.isNull()).alias("text_hash"), words_of(text).alias("w"))
-    base = base.withColumn("n_words", F.size("w").cast("long"))
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit("")), text.isNull()).alias("text_hash"), words_of(text).alias("all"))
+    # The first block of a document is there even if it has no words.
+    begins = F.sequence(F.lit(0), F.greatest(F.size("all") - 1, F.lit(0)), F.lit(BLOCK))
+    blocks = F.transform(begins, lambda i: F.struct(i.alias("from"), F.slice("all", i + 1, BLOCK + window - 1).alias("w")))
+    base = base.select("id", "text_hash", F.size("all").cast("long").alias("n_words"), F.explode(blocks).alias("b")).select("id", "text_hash", "n_words", F.col("b.from").alias("from"), F.col("b.w").alias("w"))
     probe_type = "array<struct<m:int,at:int,h:bigint>>"
     probes = F.array().cast(probe_type)
     grams = None
     for m in lengths:
-        probes = F.concat(probes, F.when(F.col("n_words") >= m, _probes(m)).otherwise(F.array().cast(probe_type)).cast(probe_type))
+        probes = F.concat(probes, F.when(F.size("w") >= m, _probes(m)).otherwise(F.array().cast(probe_type)).cast(probe_type))
         own = _seeds(windows, m)
         grams = own if grams is None else grams.union(own)
     if grams is None:
         grams = docs.sparkSession.createDataFrame([], "seed bigint")
-    marker = F.array(F.lit(None).cast("struct<m:int,at:int,h:bigint>"))
+    marker = F.when(F.col("from") == 0, F.array(F.lit(None).cast("struct<m:int,at:int,h:bigint>"))).otherwise(F.array().cast(probe_type))
     cast = base.withColumn("p", F.explode(F.concat(marker, probes)))
     if not small:  # beyond the bound rows are shuffled: each carries only the words around its probe
         cast = cast.withColumn("w", F.when(F.col("p").isNotNull(), F.slice("w", F.greatest(F.col("p.at") - F.col("p.m") + 1, F.lit(1)), 3 * window)))
         shift = F.greatest(F.col("p.at") - F.col("p.m"), F.lit(0))
     else:
         shift = F.lit(0)
+    cast = cast.withColumn("size", F.least(F.col("n_words") - F.col("from"), F.lit(BLOCK + window - 1)).cast("int"))
     met = cast.join(spread(grams.distinct()), F.col("p.h") == F.col("seed"), "left").filter("p is null or seed is not null")
     # A window of m words that holds the g-gram at `at` starts at at-(m-g) to at.
     low = F.greatest(F.col("p.at") - (F.col("p.m") - F.floor((F.col("p.m") + 1) / 2).cast("int")), F.lit(0))
-    high = F.least(F.col("p.at"), (F.col("n_words") - F.col("p.m")).cast("int"))
+    high = F.least(F.col("p.at"), F.col("size") - F.col("p.m"))
     starts = F.when(F.col("p").isNotNull() & (low <= high), F.sequence(low, high)).when(F.col("p").isNull(), F.array(F.lit(-1)))
     tried = met.withColumn("start", F.explode(starts))
     tried = tried.withColumn("try", F.when(F.col("start") >= 0, F.array_join(F.slice("w", F.col("start") - shift + 1, F.col("p.m")), " ")))
@@ -121,7 +130,7 @@ def find_windows(
     return seen.groupBy("id", "text_hash").agg(
         F.sum(F.when(F.col("start") < 0, 1).otherwise(0)).alias("copies"),
         F.max("n_words").alias("n_words"),
-        F.array_sort(F.collect_set(F.when(F.col("start") >= 0, F.struct(F.col("start"), F.col("p.m").alias("m"))))).alias("spans"),
+        F.array_sort(F.collect_set(F.when(F.col("start") >= 0, F.struct((F.col("from") + F.col("start")).alias("start"), F.col("p.m").alias("m"))))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
 
