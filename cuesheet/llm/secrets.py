@@ -2,10 +2,11 @@
 
 One pass over the texts finds the pattern spans and every long token, with the token's inferred
 encoding and the statistics of three tests: chi-squared uniformity over that encoding's alphabet, the
-runs test and lag-one serial correlation. The same pass counts the characters of the whole corpus;
-they say how a token made of ordinary text would do in the uniformity test. A token is added if it
-passes the battery as random and its p-value against "ordinary text" survives the Benjamini-Hochberg
-step-up, applied within each class of lengths over all tokens of the corpus.
+runs test and lag-one serial correlation. The same pass counts the pairs of neighbouring token
+characters of the whole corpus; they say how a token made of ordinary text would do in each of the three
+tests. A token is added if the battery takes it for random and its p-value against "ordinary text", the
+three tests combined, survives the Benjamini-Hochberg step-up, applied within each class of lengths over
+all tokens of the corpus.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -56,12 +59,16 @@ ALPHABETS: dict[str, str] = {
 }
 _SETS = {name: frozenset(chars) for name, chars in ALPHABETS.items()}
 _INDEX = {name: {c: i for i, c in enumerate(chars)} for name, chars in ALPHABETS.items()}
+#: Token characters by number; every other byte has the next one.
+_CHARS = ALPHABETS["mixed"]
+_NUMBER = np.full(256, len(_CHARS), np.int64)
+_NUMBER[[ord(c) for c in _CHARS]] = np.arange(len(_CHARS))
 
 
 @dataclass(frozen=True)
 class Settings:
-    """min_length: characters of the shortest token tested. battery: level below which a token is not
-    random. discovery: false-discovery rate. classes: lower ends of the classes of lengths."""
+    """min_length: characters of the shortest token tested; the tests tell little of shorter ones, which only
+    the patterns find. battery: level below which a token is not random. discovery: false-discovery rate. classes: lower ends of the classes of lengths."""
 
     min_length: int = 20
     battery: float = 1e-3
@@ -99,8 +106,11 @@ def _upper_normal(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def battery(token: str, encoding: str) -> tuple[float, float]:
-    """(chi-squared statistic, smallest p-value of the three tests times three) of a token."""
+def battery(token: str, encoding: str) -> tuple[float, float, float, float]:
+    """(chi-squared statistic, changes between the halves of the alphabet, lag-one correlation, p-value) of a token.
+
+    The p-value is that of a random token: the least of the three tests', times three.
+    """
     index = _INDEX[encoding]
     v = np.array([index[c] for c in token])
     n, size = len(v), len(index)
@@ -110,28 +120,63 @@ def battery(token: str, encoding: str) -> tuple[float, float]:
     high = v >= size / 2
     up = int(high.sum())
     down = n - up
+    changes = int((high[1:] != high[:-1]).sum())
     if up and down:
-        runs = 1 + int((high[1:] != high[:-1]).sum())
-        mean = 1 + 2 * up * down / n
-        var = max(1e-9, (mean - 1) * (mean - 2) / (n - 1))
-        p_runs = 2 * _upper_normal(abs(runs - mean) / math.sqrt(var))
+        mean = 2 * up * down / n
+        var = max(1e-9, mean * (mean - 1) / (n - 1))
+        p_runs = 2 * _upper_normal(abs(changes - mean) / math.sqrt(var))
     else:
         p_runs = 2.0 ** (1 - n)
     d = v - v.mean()
     spread = float((d * d).sum())
     # Under independence the lag-one correlation is about normal with mean -1/n and variance 1/n.
-    p_serial = 2 * _upper_normal(abs(float((d[1:] * d[:-1]).sum()) / spread + 1 / n) * math.sqrt(n)) if spread else 0.0
-    return chi, min(1.0, 3 * min(p_chi, p_runs, p_serial))
+    serial = float((d[1:] * d[:-1]).sum()) / spread if spread else 1.0
+    p_serial = 2 * _upper_normal(abs(serial + 1 / n) * math.sqrt(n)) if spread else 0.0
+    return chi, changes, serial, min(1.0, 3 * min(p_chi, p_runs, p_serial))
+
+
+@dataclass(frozen=True)
+class TextModel:
+    """How ordinary text, written in an alphabet, does in the three tests.
 
+    excess: what a character adds to chi-squared. changes, fair: share of neighbours in different halves of the
+    alphabet, in text and under independence. serial: correlation of neighbours.
+    """
 
-def text_p_value(chi: float, n: int, encoding: str, shares: np.ndarray) -> float:
-    """How likely ordinary text is to be as even as this over the alphabet; shares: of each byte in the corpus."""
-    chars = ALPHABETS[encoding]
-    q = shares[[ord(c) for c in chars]] + 1e-12
-    q = q / q.sum()
-    excess = n * max(0.0, len(chars) * float((q * q).sum()) - 1)
-    mean, var = len(chars) - 1 + excess, 2 * (len(chars) - 1) + 4 * excess
-    return max(1e-300, _upper_normal((mean - chi) / math.sqrt(var)))
+    size: int
+    excess: float
+    changes: float
+    fair: float
+    serial: float
+
+    @classmethod
+    def of(cls, encoding: str, pairs: np.ndarray) -> TextModel:
+        """From counts of the pairs of neighbouring token characters of a corpus (numbers of _CHARS)."""
+        at = _NUMBER[[ord(c) for c in ALPHABETS[encoding]]]
+        joint = pairs[np.ix_(at, at)] + 1e-9
+        joint = joint / joint.sum()
+        k = len(at)
+        first, second = joint.sum(axis=1), joint.sum(axis=0)
+        q = (first + second) / 2
+        high = np.arange(k) >= k / 2
+        v = np.arange(k)
+        covariance = float(v @ joint @ v) - float(first @ v) * float(second @ v)
+        spread = math.sqrt(max(1e-12, (first @ v**2 - (first @ v) ** 2) * (second @ v**2 - (second @ v) ** 2)))
+        up = float(q[high].sum())
+        return cls(k, max(0.0, k * float((q * q).sum()) - 1), float(joint[high[:, None] != high].sum()), 2 * up * (1 - up), covariance / spread)
+
+    def p_value(self, n: int, chi: float, changes: float, serial: float) -> float:
+        """How likely text of n characters is to be as near to random as this: the least of the three tests' p-values, times three.
+
+        Each test looks to the side on which random tokens lie. Three times the least is valid however the tests depend on each other.
+        """
+        excess = n * self.excess
+        mean, var = self.size - 1 + excess, 2 * (self.size - 1) + 4 * excess
+        tests = [(mean - chi) / math.sqrt(var)]
+        rate = min(max(self.changes, 1 / n), 1 - 1 / n)
+        tests.append(math.copysign(1, self.fair - rate) * (changes - (n - 1) * rate) / math.sqrt((n - 1) * rate * (1 - rate)))
+        tests.append(math.copysign(1, self.serial) * (self.serial - 1 / n - serial) * math.sqrt(n))
+        return min(1.0, max(1e-300, 3 * _upper_normal(max(tests))))
 
 
 _SCAN = T.StructType(
@@ -142,8 +187,8 @@ _SCAN = T.StructType(
         T.StructField("n_hex", T.LongType()),
         T.StructField("spans", T.ArrayType(T.LongType())),
         T.StructField("tokens", T.ArrayType(T.LongType())),
-        T.StructField("chi", T.ArrayType(T.DoubleType())),
-        T.StructField("bytes", T.ArrayType(T.LongType())),
+        T.StructField("stats", T.ArrayType(T.DoubleType())),
+        T.StructField("pairs", T.ArrayType(T.LongType())),
     ]
 )
 
@@ -167,18 +212,23 @@ def _any_per_text(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def scan(df: DataFrame, id_col: str, text_col: str, settings: Settings) -> DataFrame:
-    """A row per document: id, counts, flat base spans, flat tested tokens; and rows with byte counts (marked by bytes)."""
+    """A row per document: id, counts, flat base spans, flat tested tokens; and rows with counts of pairs alone."""
     names = list(ALPHABETS)
     schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), *_SCAN.fields[1:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(256, np.int64)
+        width = len(_CHARS) + 1
+        seen = np.zeros(width * width, np.int64)
         arrow = None
         for batch in batches:
             texts = batch.column(1)
             for first, end, data, offsets in text_pieces(batch, "text"):
-                # A run of one character counts once, so that rules and fillers do not pass for letters.
-                seen += np.bincount(data[np.concatenate(([True], data[1:] != data[:-1]))] if len(data) else data, minlength=256)
+                if len(data) > 2:
+                    # A run of one character counts as two, so that rules and fillers do not pass for letters.
+                    keep = np.ones(len(data), bool)
+                    keep[2:] = (data[2:] != data[1:-1]) | (data[1:-1] != data[:-2])
+                    number = _NUMBER[data[keep]]
+                    seen += np.bincount(number[:-1] * width + number[1:], minlength=width * width)
                 size = end - first
                 long_hex = _runs_per_text(_HEX_BYTES[data], offsets, 24)
                 marked = _any_per_text(_MARKS[data], offsets)
@@ -192,18 +242,22 @@ def scan(df: DataFrame, id_col: str, text_col: str, settings: Settings) -> DataF
                         counts[kind, i] += 1
                     out[0][i] = [x for s in spans for x in s]
                     if tokens_in[i]:
-                        rows, chis = [], []
+                        rows, stats = [], []
+                        begins, reach = [a for a, _, _ in spans], list(accumulate((b for _, _, b in spans), max))
                         for m in TOKEN.finditer(text):
                             token = m[0]
-                            if len(token) < settings.min_length or any(a < m.end() and m.start() < b for a, _, b in spans):
+                            if len(token) < settings.min_length:
+                                continue
+                            before = bisect_left(begins, m.end())  # spans that begin before the token ends
+                            if before and reach[before - 1] > m.start():
                                 continue
                             encoding = encoding_of(token)
                             if encoding is None:
                                 continue
-                            chi, p = battery(token, encoding)
+                            *found, p = battery(token, encoding)
                             rows += [m.start(), m.end(), names.index(encoding), int(p >= settings.battery)]
-                            chis.append(chi)
-                        out[1][i], out[2][i] = rows, chis
+                            stats += found
+                        out[1][i], out[2][i] = rows, stats
                 longs = pa.list_(pa.int64())
                 made = pa.RecordBatch.from_arrays(
                     [
@@ -249,32 +303,31 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null text counts as empty. spans: `kind:start:end` in code points, end exclusive, sorted by start and
     kind, comma-joined; base_sha256 is the hash of the base spans alone, so joined. A tested token that
     meets a base span is not added. Repeated rows and null ids give a row each; other columns are not
-    read. Collected are 256 byte counts and one count per length class and bin of p-values.
+    read. Collected are the counts of pairs of 67 kinds of characters and one count per length class and bin of p-values.
     """
     found = written(scan(df, id_col, text_col, settings), "secrets-scan")
-    shares = np.zeros(256)
-    for r in found.filter("bytes is not null").select(F.posexplode("bytes").alias("b", "n")).groupBy("b").agg(F.sum("n").alias("n")).collect():
-        shares[r["b"]] = r["n"]
-    shares = shares / max(1.0, shares.sum())
-    names = list(ALPHABETS)
+    width = len(_CHARS) + 1
+    pairs = np.zeros(width * width)
+    for r in found.filter("pairs is not null").select(F.posexplode("pairs").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():
+        pairs[r["at"]] = r["n"]
+    models = [TextModel.of(name, pairs.reshape(width, width)) for name in ALPHABETS]
     edges = np.array(settings.classes)
 
-    def tested(tokens: list[int], chis: list[float]) -> list[tuple[int, int, int, float]]:
-        """(start, end, class, p) of the tokens that pass as random; p is 1 for others of that class."""
+    def tested(tokens: list[int], stats: list[float]) -> list[tuple[int, int, int, float]]:
+        """(start, end, class, p) of the tested tokens; p is 1 for those that are not random."""
         out = []
-        for i, chi in enumerate(chis):
+        for i in range(len(stats) // 3):
             a, b, encoding, passed = tokens[4 * i : 4 * i + 4]
-            n = b - a
-            p = text_p_value(chi, n, names[encoding], shares) if passed else 1.0
-            out.append((a, b, int(np.searchsorted(edges, n, "right")) - 1, p))
+            p = models[encoding].p_value(b - a, *stats[3 * i : 3 * i + 3]) if passed else 1.0
+            out.append((a, b, int(np.searchsorted(edges, b - a, "right")) - 1, p))
         return out
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [t for tokens, chis in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for t in tested(tokens, chis)]
+            rows = [t for tokens, stats in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for t in tested(tokens, stats)]
             yield pa.RecordBatch.from_arrays([pa.array([r[2] for r in rows], pa.int32()), pa.array([int(-math.log10(r[3]) / 0.1) for r in rows], pa.int32())], names=["cls", "bin"])
 
-    counted = found.filter("size(chi) > 0").select("tokens", "chi").mapInArrow(bins, "cls int, bin int").groupBy("cls", "bin").count()
+    counted = found.filter("size(stats) > 0").select("tokens", "stats").mapInArrow(bins, "cls int, bin int").groupBy("cls", "bin").count()
     limit = thresholds({(r["cls"], r["bin"]): r["count"] for r in counted.collect()}, settings.discovery)
     schema = T.StructType(
         [
@@ -289,16 +342,16 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, texts, added = [], [], []
-            for flat, tokens, chis in zip(*(batch.column(k).to_pylist() for k in (4, 5, 6)), strict=True):
+            for flat, tokens, stats in zip(*(batch.column(k).to_pylist() for k in (4, 5, 6)), strict=True):
                 spans = [tuple(flat[i : i + 3]) for i in range(0, len(flat), 3)]
                 base = joined(spans)
-                more = [(a, 3, b) for a, b, cls, p in tested(tokens, chis) if 10.0 ** (-0.1 * int(-math.log10(p) / 0.1)) <= limit.get(cls, 0.0)]
+                more = [(a, 3, b) for a, b, cls, p in tested(tokens, stats) if 10.0 ** (-0.1 * int(-math.log10(p) / 0.1)) <= limit.get(cls, 0.0)]
                 hashes.append(hashlib.sha256(base.encode()).hexdigest())
                 texts.append(joined(sorted(spans + more)) if more else base)
                 added.append(len(more))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(hashes, pa.string()), pa.array(texts, pa.string()), pa.array(added, pa.int64())], names=schema.fieldNames())
 
-    return found.filter("bytes is null").drop("bytes").mapInArrow(finish, schema)
+    return found.filter("pairs is null").drop("pairs").mapInArrow(finish, schema)
 
 
 def redact(text: str, spans: str, mask: str = "*") -> str:
