@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuesheet.llm.runtime import separators, text_pieces, word_spans, written
+from cuesheet.llm.runtime import separators, shuffle_partitions, span_hashes, text_pieces, word_spans, written
 
 BUCKET_BITS = 16
 UNDETERMINED = "und"
@@ -26,6 +26,8 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
+#: Words whose trigrams are looked up at once.
+_WORDS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -52,12 +54,15 @@ def fold_bytes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def trigram_buckets(data: np.ndarray) -> np.ndarray:
-    """The bucket of the trigram around each byte; neighbours outside the word count as 0."""
+def trigram_buckets(data: np.ndarray, begins: np.ndarray = np.zeros(0, np.int64)) -> np.ndarray:
+    """The bucket of the trigram around each byte; neighbours outside the word count as 0. begins: where texts begin."""
     b = fold_bytes(data).astype(np.uint32)
     key = b << np.uint32(8)
     key[1:] |= b[:-1] << np.uint32(16)
     key[:-1] |= b[1:]
+    begins = begins[(begins > 0) & (begins < len(b))]
+    key[begins] &= np.uint32(0xFFFF)
+    key[begins - 1] &= np.uint32(0xFFFF00)
     return (key * np.uint32(2654435761)) >> np.uint32(32 - BUCKET_BITS)
 
 
@@ -71,31 +76,56 @@ class MixtureModel:
         self.table = np.ascontiguousarray((table - table.mean(axis=1, keepdims=True)).astype(np.float32))
         self.settings = settings
 
-    def _em(self, like: np.ndarray, first: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _em(self, like: np.ndarray, first: np.ndarray, allowed: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(proportions, log-likelihood) of each text; like: words x languages, largest 1; allowed: texts x languages.
 
-        A text whose proportions have settled leaves the loop, so later steps touch only the others.
+        weight: how often each word stands there; once, if not given. A text whose proportions have settled
+        leaves the loop, so later steps touch only the others.
         """
         s = self.settings
         sizes = np.diff(np.append(first, len(like)))
+        weight = np.ones(len(like)) if weight is None else weight
+        total = np.add.reduceat(weight, first)
         out = allowed / allowed.sum(axis=1, keepdims=True)
         live = np.arange(len(first))
         for _ in range(s.iterations):
             if not len(live):
                 break
             if len(live) == len(first):
-                part, n = like, sizes
+                part, often, n = like, weight, sizes
             else:
                 n = sizes[live]
-                part = like[_spread(first[live], n)]
+                at = _spread(first[live], n)
+                part, often = like[at], weight[at]
             share = part * np.repeat(out[live], n, axis=0)
-            share /= share.sum(axis=1, keepdims=True)
-            fresh = np.add.reduceat(share, np.concatenate(([0], np.cumsum(n)[:-1])), axis=0) / n[:, None]
+            share *= (often / share.sum(axis=1))[:, None]
+            fresh = np.add.reduceat(share, np.concatenate(([0], np.cumsum(n)[:-1])), axis=0) / total[live][:, None]
             moved = np.abs(fresh - out[live]).max(axis=1)
             out[live] = fresh
             live = live[moved > s.tolerance]
         mixed = np.einsum("wl,wl->w", like, np.repeat(out, sizes, axis=0))
-        return out, np.add.reduceat(np.log(np.maximum(mixed, 1e-300)), first)
+        return out, np.add.reduceat(weight * np.log(np.maximum(mixed, 1e-300)), first)
+
+    def _likelihoods(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
+        """The likelihoods of the words, words x languages, largest 1, for _WORDS words at a time."""
+        for i in range(0, len(starts), _WORDS):
+            low, high = starts[i], ends[min(i + _WORDS, len(ends)) - 1]
+            piece = data[low:high]
+            values = self.table[trigram_buckets(piece, starts[i : i + _WORDS] - low)]
+            values[_GAPS[piece]] = 0
+            words = np.add.reduceat(values, starts[i : i + _WORDS] - low, axis=0, dtype=np.float64)
+            yield np.exp(words - words.max(axis=1, keepdims=True)) + 1e-12
+
+    def _distinct(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(likelihoods, numbers) of the distinct words: a very long text has far fewer of them than words."""
+        keys, likes, counts = np.zeros(0, np.uint64), np.zeros((0, len(self.languages))), np.zeros(0)
+        for i, like in enumerate(self._likelihoods(data, starts, ends)):
+            part = slice(i * _WORDS, (i + 1) * _WORDS)
+            both = np.concatenate([keys, span_hashes(data, starts[part], ends[part], fold_case=False)])
+            often = np.concatenate([counts, np.ones(len(like))])
+            keys, first, back = np.unique(both, return_index=True, return_inverse=True)
+            likes, counts = np.concatenate([likes, like])[first], np.bincount(back, often)
+        return likes, counts
 
     def infer(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Proportions of every language for each text (all zero for a text without a word)."""
@@ -105,13 +135,16 @@ class MixtureModel:
         has = np.flatnonzero(sizes)
         if not len(has):
             return out
-        values = self.table[trigram_buckets(data)]
-        values[_GAPS[data]] = 0
-        words = np.add.reduceat(values, starts, axis=0, dtype=np.float64)
-        like = np.exp(words - words.max(axis=1, keepdims=True)) + 1e-12
-        first = words_at[:-1][has]
+        # A text that comes alone may be very long; its words are held once each.
+        alone = len(sizes) == 1 and sizes[0] > _WORDS
+        if alone:
+            like, weight = self._distinct(data, starts, ends)
+            first, sizes_held = np.zeros(1, np.int64), np.array([len(like)])
+        else:
+            like, weight = np.concatenate(list(self._likelihoods(data, starts, ends))), None
+            first, sizes_held = words_at[:-1][has], sizes[has]
         everything = np.ones((len(has), like.shape[1]))
-        best, _ = self._em(like, first, everything)
+        best, _ = self._em(like, first, everything, weight)
         order = np.argsort(-best, axis=1, kind="stable")
         # Nested sets: the leading language, the two leading ones, and so on.
         n = sizes[has]
@@ -122,10 +155,10 @@ class MixtureModel:
         for k in range(1, like.shape[1] + 1):
             if not len(doubtful):
                 break
-            sub_n = n[doubtful]
-            part = like if len(doubtful) == len(has) else like[_spread(first[doubtful], sub_n)]
-            sub_first = np.concatenate(([0], np.cumsum(sub_n)[:-1]))
-            share, fit = self._em(part, sub_first, (rank[doubtful] < k).astype(np.float64))
+            sub_n, held = n[doubtful], sizes_held[doubtful]
+            part = like if len(doubtful) == len(has) else like[_spread(first[doubtful], held)]
+            sub_first = np.concatenate(([0], np.cumsum(held)[:-1]))
+            share, fit = self._em(part, sub_first, (rank[doubtful] < k).astype(np.float64), weight)
             penalised = fit - self.settings.penalty * (k - 1) * np.log(sub_n + 1.0)
             better = penalised > score[doubtful]
             score[doubtful[better]] = penalised[better]
@@ -148,7 +181,8 @@ def learn(df: DataFrame, lang_col: str, text_col: str, id_col: str, settings: Se
     """The model from rows with a language and text that `accept` takes; None if there is none.
 
     Of each language about settings.sample_docs documents are used, those whose hashed id is below
-    the threshold that its count gives. Collected are the counts: buckets x languages.
+    the threshold that its count gives. Counted is a language at a time; collected is a row of counts, one
+    per bucket, for each language.
     """
     rows = df if accept is None else df.filter(accept)
     rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
@@ -164,19 +198,30 @@ def learn(df: DataFrame, lang_col: str, text_col: str, id_col: str, settings: Se
     at = {k: i for i, k in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(at), 1 << BUCKET_BITS), np.int64)
+        """From rows sorted by language: its counts."""
+        now, counts = None, np.zeros(1 << BUCKET_BITS, np.int64)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at[now]], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=["lang", "counts"])
+
         for batch in batches:
             tags = batch.column(0).to_pylist()
             for first, end, data, offsets in text_pieces(batch, "text"):
-                keep = ~_GAPS[data]
-                lang = np.repeat([at[x] for x in tags[first:end]], np.diff(offsets))
-                flat = lang[keep] * (1 << BUCKET_BITS) + trigram_buckets(data)[keep]
-                counts += np.bincount(flat, minlength=counts.size).reshape(counts.shape)
-        for i in range(len(at)):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([counts[i].tobytes()], pa.binary())], names=["lang", "counts"])
+                bucket, keep = trigram_buckets(data, offsets[:-1]), ~_GAPS[data]
+                cuts = [i for i in range(first, end) if i == first or tags[i] != tags[i - 1]] + [end]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    if tags[a] != now:
+                        if now is not None:
+                            yield out()
+                        now, counts = tags[a], np.zeros(1 << BUCKET_BITS, np.int64)
+                    part = slice(offsets[a - first], offsets[b - first])
+                    counts += np.bincount(bucket[part][keep[part]], minlength=len(counts))
+        if now is not None:
+            yield out()
 
     total = np.zeros((1 << BUCKET_BITS, len(languages)), np.int64)
-    for row in sample.coalesce(8).mapInArrow(count, "lang int, counts binary").toLocalIterator():  # 8 x languages rows
+    by_language = sample.repartition(min(len(languages), shuffle_partitions(spark)), "lang").sortWithinPartitions("lang")
+    for row in by_language.mapInArrow(count, "lang int, counts binary").toLocalIterator():  # a row per language
         total[:, row["lang"]] += np.frombuffer(row["counts"], np.int64)
     return MixtureModel(languages, total, settings)
 

@@ -192,3 +192,118 @@ def test_random_values_of_names_are_found(spark):
         for part in filter(None, rows[i].spans.split(",")):
             kind, a, b = part.split(":")
             assert kind == "random" and texts[i][int(a) : int(b)] == planted[i]
+
+
+# -- whole queries against plain Python ----------------------------------------------------------
+
+
+def test_language_query_equals_a_plain_loop(spark, tmp_path):
+    """op1 over a small table against a loop over words: likelihoods, EM for each nested set, penalised choice."""
+    import math
+    import zlib
+
+    from cuesheet.llm.queries import op1_language_id
+
+    rnd = random.Random(8)
+    es = "el gato de la casa esta en una mesa con manzanas y leche"
+    texts = [(i, sentence(rnd, (FR, DE, es)[i % 3], rnd.randint(5, 40)), ("fr", "de", "es")[i % 3]) for i in range(90)]
+    texts += [(90, sentence(rnd, FR, 30) + " " + sentence(rnd, DE, 20), "fr"), (91, None, "fr"), (92, "12 ,", None), (93, sentence(rnd, es, 12), None)]
+    documents(spark, texts, clash=False).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op1_language_id(spark, str(tmp_path)).collect()}
+    s, gram_bits = langid.Settings(), langid.BUCKET_BITS
+
+    def words_of(text):
+        return [w.encode() for w in re.findall(r"[a-zA-Z\x80-\U0010ffff]+", (text or "").lower())]
+
+    def grams(word):
+        padded = b"\x00" + word + b"\x00"
+        return [(((padded[i - 1] << 16) + (padded[i] << 8) + padded[i + 1]) * 2654435761 % (1 << 32)) >> (32 - gram_bits) for i in range(1, len(padded) - 1)]
+
+    learned = ["de", "es", "fr"]
+    counts = {g: [s.smoothing] * (1 << gram_bits) for g in learned}
+    for i, t, g in texts:
+        if g and t and zlib.crc32(str(i).encode()) % 4 != 2:
+            for w in words_of(t):
+                for x in grams(w):
+                    counts[g][x] += 1
+    totals = {g: sum(counts[g]) for g in learned}
+    for i, t, _ in texts:
+        words = words_of(t)
+        if not words:
+            assert got[i].lang_pred == "und" and got[i].score == 0
+            continue
+        logs = [[s.temper * sum(math.log(counts[g][x] / totals[g]) for x in grams(w)) for g in learned] for w in words]
+        like = [[math.exp(v - max(row)) + 1e-12 for v in row] for row in logs]
+
+        def em(allowed):
+            p = [a / sum(allowed) for a in allowed]
+            for _ in range(s.iterations):
+                parts = [[a * b for a, b in zip(p, row, strict=True)] for row in like]
+                fresh = [sum(q[k] / sum(q) for q in parts) / len(like) for k in range(3)]
+                moved = max(abs(a - b) for a, b in zip(p, fresh, strict=True))
+                p = fresh
+                if moved <= s.tolerance:
+                    break
+            return p, sum(math.log(sum(a * b for a, b in zip(p, row, strict=True))) for row in like)
+
+        whole, _ = em([1, 1, 1])
+        order = sorted(range(3), key=lambda k: -whole[k])
+        best = max((em([k in order[:n] for k in range(3)]) + (n,) for n in (1, 2, 3) if n == 1 or all(whole[order[m]] * len(words) >= 1 for m in range(1, n))), key=lambda e: e[1] - s.penalty * (e[2] - 1) * math.log(len(words) + 1))
+        assert got[i].lang_pred == learned[best[0].index(max(best[0]))] and got[i].n_languages == best[2]
+        assert got[i].score == pytest.approx(max(best[0]), abs=1e-3)
+    assert got[90].n_languages == 2
+
+
+def test_words_held_once_give_the_same(spark, monkeypatch):
+    model = langid.learn(labelled(spark), "lang", "text", "doc_id")
+    rnd = random.Random(4)
+    raw = np.frombuffer((sentence(rnd, FR, 700) + ". " + sentence(rnd, DE, 300)).encode(), np.uint8)
+    one = model.infer(raw, np.array([0, len(raw)]))
+    monkeypatch.setattr(langid, "_WORDS", 128)
+    assert model.infer(raw, np.array([0, len(raw)])) == pytest.approx(one, abs=1e-9)
+    assert model.infer(np.concatenate([raw, raw]), np.array([0, len(raw), 2 * len(raw)])) == pytest.approx(np.concatenate([one, one]), abs=1e-9)
+
+
+def test_quality_query_equals_plain_compression(spark, tmp_path):
+    """op5 over a small table: its scorer's dictionaries applied by hand, block by block, through the logistic formula."""
+    import math
+    import zlib
+
+    import zstandard
+
+    from cuesheet.llm.queries import op5_quality
+
+    rnd = random.Random(7)
+    texts = [(i, sentence(rnd, FR, rnd.randint(5, 900)) if i % 2 else sentence(rnd, "!!! BUY NOW click 999", rnd.randint(2, 500))) for i in range(120)] + [(120, None), (121, "")]
+    documents(spark, texts, clash=False).write.parquet(f"{tmp_path}/documents.parquet")
+    marks = [(i, i % 2, 0) for i in range(100)]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in op5_quality(spark, str(tmp_path)).collect()}
+    docs, labels = (spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in ("documents", "labels"))
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    scorer = quality.learn(docs, labels, accept=fold != 0)
+    size = scorer.settings.block_bytes
+    for i, t in texts:
+        raw, sizes = (t or "").encode(), []
+        for words in (scorer.good, scorer.bad):
+            n = max(1, -(-len(raw) // size))
+            step = max(1, -(-len(raw) // n))
+            c = zstandard.ZstdCompressor(level=scorer.settings.level, dict_data=zstandard.ZstdCompressionDict(words), write_dict_id=False, write_checksum=False, write_content_size=False)
+            sizes.append(sum(len(c.compress(raw[a : a + step])) for a in range(0, len(raw), step)))
+        g, b = sizes
+        x = [(b - g) / (b + g), min(g, b) / len(raw)] if raw else [0.0, 1.0]
+        z = [max(-6, min(6, (v - m) / d)) for v, m, d in zip(x, scorer.centre, scorer.scale, strict=True)]
+        total = sum(w * v for w, v in zip(scorer.weights, [1, *z, z[0] ** 2, z[1] ** 2, z[0] * z[1]], strict=True))
+        score = 1 / (1 + math.exp(-max(-30, min(30, total))))
+        assert got[i].score == pytest.approx(score, abs=1e-9) and got[i].predicted == int(got[i].score >= 0.3)
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+    assert sum(got[i].predicted == i % 2 for i in range(120)) >= 108
+
+
+def test_quality_learns_from_few_and_repeated_rows(spark):
+    docs = documents(spark, [(1, "le chat de la maison"), (1, "le chat de la maison"), (2, "!!! BUY"), (3, "x" * 5000), (2, None)])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (3, 0)], "doc_id long, quality int")
+    scorer = quality.learn(docs, labels)
+    assert scorer is not None and len({r.score for r in quality.score(docs, scorer).collect()}) > 1
+    bounded = quality._sampled(docs, labels, "doc_id", "text", "quality", None, quality.Settings(sample_bytes=1000)).collect()
+    assert sorted((r.label, r.text) for r in bounded) == [(0, ""), (1, "le chat de la maison")]
