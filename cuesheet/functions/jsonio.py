@@ -13,7 +13,7 @@ MESSAGE = "type string, source string, start double, end double, text string, la
 PROJECT = "name string, created_at string, updated_at string, video_path string, workspace_dir string, steps map<string,string>, step_data map<string,string>, history array<struct<timestamp:string,step:string,action:string,detail:string>>"
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """body(value), with the value computed once: a Column that is used twice is otherwise written out twice."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -51,7 +51,7 @@ def json_array(raw: Column, expected: Column, clean=text.clean_commentary) -> Co
         return F.struct(body.alias("body"), F.schema_of_variant(F.try_parse_json(body)).alias("kind"), items.alias("items"))
 
     t = text.strip(F.regexp_replace(raw, r"```(?:json)?\s*", ""))
-    return _let(t, lambda t: _let(outermost(t), lambda b: _let(parsed(b), lambda p: _let(checked(p), verdict))))
+    return let(t, lambda t: let(outermost(t), lambda b: let(parsed(b), lambda p: let(checked(p), verdict))))
 
 
 def messages(lines: DataFrame, column: str = "value") -> DataFrame:

@@ -105,6 +105,21 @@ def contains_han(text: Column) -> Column:
     return F.rlike(text, F.lit("[一-鿿]"))
 
 
+def much_shorter(text: Column, prompt: Column, share: float = 0.5) -> Column:
+    """Whether a text has less than `share` of its prompt's characters, so that speech from it may be poor."""
+    return F.char_length(text) < share * F.char_length(prompt)
+
+
+def answer_or_blank(text: Column, answer: Column) -> Column:
+    """The answer to a text; blank text has an empty one and asks nothing."""
+    return F.when(strip(text) == "", F.lit("")).otherwise(answer)
+
+
+def token_rows(df, column: str, token: str = "token", place: str = "place"):
+    """df with a row per token, the pieces between white space, and its place; texts without one give none."""
+    return df.select("*", F.posexplode(F.filter(F.split(strip(F.col(column)), r"\s+"), lambda t: t != "")).alias(place, token))
+
+
 def count_han(text: Column) -> Column:
     return F.char_length(F.regexp_replace(text, "[^一-鿿]", ""))
 
@@ -187,14 +202,18 @@ def spell_out_numbers(text: pd.Series) -> pd.Series:
 def cut_sentences(text: Column, zh: bool = True, commas: bool = False) -> Column:
     """Sentences with their end mark, and a closing quote that follows it; a missing last mark is added.
 
-    An empty text has none. A mark with nothing before it is no sentence.
+    An empty text has none. A mark with nothing before it is no sentence: it goes, and a quote after it closes
+    the sentence before.
     """
     ends = (ENDS_ZH if zh else ENDS_EN) + ("，," if commas else "")
     klass = "[" + "".join("\\" + c if c in ".?" else c for c in ends) + "]"
     rest = "[^" + klass[1:]
     done = F.when(F.rlike(text, F.lit(klass + r"\z")), text).otherwise(F.concat(text, F.lit("。" if zh else ".")))
-    found = F.regexp_extract_all(done, F.lit(f"(?s)({rest}+{klass}[\"”]?|{klass}[\"”]?)"), F.lit(1))
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.filter(found, lambda s: ~F.rlike(s, F.lit(f"^{klass}\\z"))))
+    # Of a run of marks the first counts.
+    single = F.regexp_replace(done, f"({klass}){klass}+", "$1")
+    found = F.regexp_extract_all(single, F.lit(f"(?s)({rest}+{klass}[\"”]?(?:{klass}[\"”]?)*)"), F.lit(1))
+    whole = F.transform(found, lambda s: F.regexp_replace(s, f"(?<={klass}[\"”])([\"”]*){klass}", "$1"))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(whole)
 
 
 def pack_sentences(sentences: Column, length=F.char_length, most: int = 80, least: int = 60, merge: int = 20) -> Column:
@@ -229,18 +248,23 @@ def split_paragraph(text: Column, zh: bool = True, length=None, most: int = 80,
     return pack_sentences(cut_sentences(text, zh, commas), length or (F.char_length if zh else word_count), most, least, merge)
 
 
-def normalize_for_speech(text: Column) -> Column:
+def normalize_for_speech(text: Column, split: bool = True, frontend: bool = True) -> Column:
     """Pieces of a text as a speech model reads them, without those of punctuation only.
 
+    Without `split` the whole normalised text is one piece; without `frontend` the text is left as it is.
     Text with markup (`<|` and `|>`) is left alone. Chinese text loses line ends, needless blanks, brackets and
     corner marks; other text gets its numbers spelled out.
     """
+    if not frontend:
+        return F.array(text)
     t = strip(text)
     zh = remove_bracket(F.replace(F.replace(replace_corner_mark(replace_blank(F.replace(t, F.lit("\n"), F.lit("")))), F.lit("."), F.lit("。")), F.lit(" - "), F.lit("，")))
     zh = F.regexp_replace(zh, "[，,、]+$", "。")
+    marked = F.contains(text, F.lit("<|")) & F.contains(text, F.lit("|>"))
+    if not split:
+        return F.array(F.when(marked | (text == ""), text).when(contains_han(t), zh).otherwise(spell_out_numbers(t)))
     pieces = F.when(contains_han(t), split_paragraph(zh, True)).otherwise(split_paragraph(spell_out_numbers(t), False))
     kept = F.filter(pieces, lambda p: ~only_punctuation(p))
-    marked = F.contains(text, F.lit("<|")) & F.contains(text, F.lit("|>"))
     return F.when(marked | (text == ""), F.array(text)).otherwise(kept)
 
 
@@ -260,6 +284,11 @@ def ids_of_tokens(tokens: Column) -> Column:
     return F.transform(good, lambda t: F.regexp_extract(t, r"(\d+)", 1).cast("int"))
 
 
+def unexpected_tokens(tokens: Column) -> Column:
+    """What ids_of_tokens leaves out."""
+    return F.filter(tokens, lambda t: ~F.rlike(t, F.lit(r"^<\|s_\d+\|>$")))
+
+
 def split_tokens(text: Column) -> Column:
     """The <...> pieces of a text of tokens that stand side by side."""
     return F.regexp_extract_all(text, F.lit("(<[^<>]*>)"), F.lit(1))

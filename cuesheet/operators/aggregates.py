@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,18 +78,21 @@ def error_rate(df: DataFrame, keys: list[str], ref: str, hyp: str) -> DataFrame:
 def align_chars(ref: str, hyp: str) -> list[tuple[str, str, str]]:
     """(operation, ref, hyp) of a least-cost alignment: `cor`, `sub`, `ins` or `del`. Ties: match, substitution, deletion."""
     n, m = len(ref), len(hyp)
-    cost = [list(range(m + 1))]
+    letters = np.array([ord(c) for c in hyp], np.int32)
+    at = np.arange(m + 1, dtype=np.int32)
+    cost = np.empty((n + 1, m + 1), np.int32)
+    cost[0] = at
     for i in range(1, n + 1):
-        row, last = [i], cost[-1]
-        for j in range(1, m + 1):
-            row.append(min(last[j - 1] + (ref[i - 1] != hyp[j - 1]), last[j] + 1, row[j - 1] + 1))
-        cost.append(row)
+        row = cost[i - 1] + 1
+        row[1:] = np.minimum(row[1:], cost[i - 1, :-1] + (letters != ord(ref[i - 1])))
+        # Insertions cost one a step: the least of row[k] + j - k over k up to j.
+        cost[i] = np.minimum.accumulate(row - at) + at
     out, i, j = [], n, m
     while i or j:
-        if i and j and cost[i][j] == cost[i - 1][j - 1] + (ref[i - 1] != hyp[j - 1]):
+        if i and j and cost[i, j] == cost[i - 1, j - 1] + (ref[i - 1] != hyp[j - 1]):
             i, j = i - 1, j - 1
             out.append(("cor" if ref[i] == hyp[j] else "sub", ref[i], hyp[j]))
-        elif i and cost[i][j] == cost[i - 1][j] + 1:
+        elif i and cost[i, j] == cost[i - 1, j] + 1:
             i -= 1
             out.append(("del", ref[i], ""))
         else:
@@ -125,6 +129,11 @@ def error_table(df: DataFrame, ref: str, hyp: str, combine: bool = False) -> Dat
     return parts.groupBy("op", "ref_part", "hyp_part").agg(F.sum("n").alias("n"))
 
 
+def ordered_errors(errors: DataFrame) -> DataFrame:
+    """An error table as it is reported: most frequent first, equals by their parts, descending."""
+    return errors.orderBy(F.desc("n"), F.desc("ref_part"), F.desc("hyp_part"), F.desc("op"))
+
+
 def completed(status: Column, state: str = "done") -> Column:
     """How many values of a map column equal the state."""
     return F.size(F.filter(F.map_values(status), lambda v: v == state))

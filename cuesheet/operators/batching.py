@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuesheet.operators import scale
+from cuesheet.operators.manifests import earliest
 
 
 def sequence_filter(
@@ -75,15 +77,26 @@ def dynamic_batch(df: DataFrame, shard: list[str], idx: str, length: str, cap: i
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, number, longest, rows = None, 0, 0, 0
         for pdf in batches:
-            out = []
-            for key, n in zip(pdf[shard].itertuples(index=False, name=None), pdf[length], strict=True):
+            lengths = pdf[length].to_numpy()
+            out = np.empty(len(pdf), np.int64)
+            codes = pdf.groupby(shard, sort=False, dropna=False).ngroup().to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))[: len(pdf)]
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(pdf)], strict=True):
+                key = tuple(None if pd.isna(v) else v for v in pdf[shard].iloc[a])
                 if key != now:
                     now, number, longest, rows = key, 0, 0, 0
-                longest = max(longest, n)
-                if rows and longest * (rows + 1) > cap:
-                    number, longest, rows = number + 1, n, 0
-                rows += 1
-                out.append(number)
+                while a < b:
+                    # How far the batch goes: the longest so far times its rows does not fall, so the first place over the cap ends it.
+                    part = np.maximum(np.maximum.accumulate(lengths[a : min(b, a + 512)]), longest)
+                    over = np.flatnonzero(part * (rows + 1 + np.arange(len(part))) > cap)
+                    over = over[over + rows > 0]
+                    take = int(over[0]) if len(over) else len(part)
+                    out[a : a + take] = number
+                    if take:
+                        rows, longest = rows + take, part[take - 1]
+                    a += take
+                    if len(over):
+                        number, longest, rows = number + 1, 0, 0
             yield pdf[columns].assign(batch=out)
 
     return ordered.mapInPandas(run, schema)
@@ -107,9 +120,27 @@ def shard_rows(df: DataFrame, idx: str, n: int, world: int, workers: int = 1) ->
     return rows.withColumn("worker", F.col("__k") % workers).drop("__i", "__j", "__n", "__k")
 
 
-def seeded_order(seed: int, *ids: Column) -> Column:
-    """A reproducible shuffle key: rows sorted by it are in an order that depends on seed and ids only."""
-    return F.xxhash64(F.lit(seed), *ids)
+def epoch_rows(df: DataFrame, ident: str, seed: int, epoch: int, world: int, workers: int = 1, shuffle: bool = True) -> DataFrame:
+    """df with epoch_idx, rank and worker: one epoch of a distributed sampler, every row at least once.
+
+    Rows are put in an order of the epoch (by id if not shuffled) without a sort of all rows in one task, and
+    dealt as shard_rows does: lists shorter than the world, or than a rank's workers, are repeated. ident: a unique integer.
+    """
+    order = seeded_order(f"{seed}/{epoch}", F.col(ident)) if shuffle else F.col(ident).cast("bigint")
+    rows = df.withColumn("__o", order)
+    rows = scale.position(rows, [], ["__o", ident], F.shiftright("__o", 44) if shuffle else F.floor(F.col("__o") / 65536), "epoch_idx")
+    return shard_rows(rows.drop("__o").withColumn("epoch_idx", F.col("epoch_idx").cast("bigint")), "epoch_idx", df.count(), world, workers)
+
+
+def seeded_order(seed: int | str, *ids: Column) -> Column:
+    """A reproducible shuffle key of 60 bits: rows sorted by it are in an order that depends on seed and ids only."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in ids])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
+def seeded_share(seed: int | str, *ids: Column) -> Column:
+    """A reproducible number from 0 to 1."""
+    return seeded_order(seed, *ids) / F.lit(float(1 << 60))
 
 
 def shuffle_blocks(df: DataFrame, shard: list[str], idx: str, seed: int, size: int = 10000) -> DataFrame:
@@ -172,6 +203,58 @@ def top_p(df: DataFrame, keys: list[str], weight: str, tie: str, p: float = 0.8,
     return rows.filter((F.col("rank") <= k) & (F.col("__before") < p)).drop("__top", "__e", "__sum", "__before")
 
 
+def draw(df: DataFrame, keys: list[str], share: str, order: str, seed: int | str) -> DataFrame:
+    """One row of each key, by a seeded number: shares are laid end to end in the order, and it falls on one of them.
+
+    Shares need not sum to 1. Keys are those of a distribution (a vocabulary at most), not of a corpus.
+    """
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumn("__end", F.sum(share).over(w))
+    totals = df.groupBy(*keys).agg(F.sum(share).alias("__all"))
+    at = seeded_share(seed, *[F.col(k) for k in keys]) * F.col("__all")
+    past = rows.join(totals, keys).withColumn("__past", F.col("__end") > at).filter("__past")
+    rest = [c for c in df.columns if c not in (*keys, order)]
+    return past.groupBy(*keys).agg(F.min(F.struct(order, *rest)).alias("x")).select(*keys, *[F.col(f"x.{c}").alias(c) for c in (order, *rest)])
+
+
+def sample_token(df: DataFrame, keys: list[str], weight: str, token: str, recent: Column, seed: int, p: float = 0.8, k: int = 25, window: int = 10, share: float = 0.1) -> DataFrame:
+    """keys, token, redrawn: a token drawn from the top-p prefix; one that was repeated lately is banned and drawn again from all others.
+
+    recent: the tokens of the key so far (an array).
+    """
+    first = draw(top_p(df, keys, weight, token, p, k), keys, "share", "rank", f"{seed}/1")
+    history = df.select(*keys, recent.alias("__recent")).dropDuplicates(keys)
+    first = first.join(history, keys).withColumn("redrawn", repeated_lately("__recent", F.col(token), window, share)).select(*keys, token, "redrawn")
+    banned = first.filter("redrawn").select(*keys, F.col(token).alias("__banned"))
+    others = df.join(banned, keys).filter(F.col(token) != F.col("__banned"))
+    others = others.join(others.groupBy(*keys).agg(F.max(weight).alias("__top")), keys).withColumn("__share", F.exp(F.col(weight) - F.col("__top")))
+    again = draw(others.select(*keys, token, "__share"), keys, "__share", token, f"{seed}/2").select(*keys, token, F.lit(True).alias("redrawn"))
+    return first.filter("not redrawn").unionByName(again)
+
+
+def doubled(df: DataFrame, chosen: str, rejected: str, out: str, flag: str = "is_rejected") -> DataFrame:
+    """Every row twice: with the chosen value, then with the rejected one, told apart by a flag."""
+    rest = [c for c in df.columns if c not in (chosen, rejected)]
+    def half(column: str, which: bool) -> DataFrame:
+        return df.select(*rest, F.col(column).alias(out), F.lit(which).alias(flag))
+    return half(chosen, False).unionByName(half(rejected, True))
+
+
+def capped_tokens(tokens: Column, duration: Column, most: float = 30.0) -> Column:
+    """The tokens of a recording; none if it is longer than `most` seconds."""
+    return F.when(duration > most, F.slice(tokens, 1, 0)).otherwise(tokens)
+
+
+def below(df: DataFrame, duration: Column, most: float = 30.0) -> DataFrame:
+    """Rows whose recording is shorter than `most` seconds."""
+    return df.filter(duration < most)
+
+
+def smallest(df: DataFrame, keys: list[str], size: str, tie: str) -> DataFrame:
+    """The row of the least size of each key; ties by `tie`."""
+    return earliest(df, keys, [size, tie])
+
+
 def repeated_lately(tokens: str, candidate: Column, window: int = 10, share: float = 0.1) -> Column:
     """Whether the candidate makes up `share` of the last `window` tokens of an array or more."""
     last = F.slice(tokens, F.greatest(F.size(tokens) - window + 1, F.lit(1)), window)

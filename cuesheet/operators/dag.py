@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuesheet.operators.manifests import latest
@@ -33,18 +33,27 @@ def edges(spark: SparkSession, needs: dict[str, list[str]] = NEEDS) -> DataFrame
     return spark.createDataFrame([(s, n) for s, ns in needs.items() for n in ns], "step string, needs string")
 
 
+def _literal(df: DataFrame, *columns: str, most: int = 1000) -> Column:
+    """The rows of a small table, a step list, as an array of structs; more than `most` are an error."""
+    rows = df.select(*columns).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} steps or needs")
+    kinds = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in df.select(*columns).schema)
+    return F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, r, strict=True)]) for r in rows]).cast(f"array<struct<{kinds}>>")
+
+
 def status(states: DataFrame, step_list: DataFrame, edge_list: DataFrame, keys: list[str]) -> DataFrame:
     """keys, step, ord, status: locked if a step it needs is not done, else the stored state, or ready.
 
     states: keys, step, state; keys without any row in it are not known. Steps that are not in the list are locked.
     """
     known = states.select(*keys).distinct()
-    full = known.join(F.broadcast(step_list)).join(states, [*keys, "step"], "left")
-    need = known.join(F.broadcast(edge_list)).join(states.select(*keys, F.col("step").alias("needs"), F.col("state").alias("needed")), [*keys, "needs"], "left")
+    full = known.withColumn("__s", F.explode(_literal(step_list, "step", "ord"))).select(*keys, "__s.*").join(states, [*keys, "step"], "left")
+    need = known.withColumn("__e", F.explode(_literal(edge_list, "step", "needs"))).select(*keys, "__e.*").join(states.select(*keys, F.col("step").alias("needs"), F.col("state").alias("needed")), [*keys, "needs"], "left")
     locked = need.groupBy(*keys, "step").agg(F.bool_or(F.coalesce(F.col("needed") != "done", F.lit(True))).alias("locked"))
     out = full.join(locked, [*keys, "step"], "left")
     listed = out.select(*keys, "step", "ord", F.when(F.col("locked"), "locked").otherwise(F.coalesce("state", F.lit("ready"))).alias("status"))
-    unknown = states.join(F.broadcast(step_list.select("step")), "step", "left_anti").select(*keys, "step", F.lit(None).cast("int").alias("ord"), F.lit("locked").alias("status"))
+    unknown = states.join(step_list.select("step"), "step", "left_anti").select(*keys, "step", F.lit(None).cast("int").alias("ord"), F.lit("locked").alias("status"))
     return listed.unionByName(unknown)
 
 
@@ -65,15 +74,11 @@ def marked(log: DataFrame, entry: DataFrame, names: list[str] = STEPS) -> DataFr
 
 
 def history_tail(log: DataFrame, keys: list[str], time: str, tie: str, n: int) -> DataFrame:
-    """The last n entries of each key, by a bounded aggregate, newest first: keys, place, and the entry's columns."""
-    rest = [time, tie, *[c for c in log.columns if c not in (*keys, time, tie)]]
-    # Cut per bucket of time first, so that no list is longer than a bucket or n entries of each bucket.
-    bucketed = log.withColumn("__b", F.substring(F.col(time).cast("string"), 1, 10))
-    def newest(entries: Column) -> Column:
-        return F.slice(F.sort_array(entries, asc=False), 1, n)
-    part = bucketed.groupBy(*keys, "__b").agg(newest(F.collect_list(F.struct(*rest))).alias("a"))
-    best = part.groupBy(*keys).agg(newest(F.flatten(F.collect_list("a"))).alias("a"))
-    return best.select(*keys, F.posexplode("a").alias("place", "e")).select(*keys, "place", "e.*")
+    """The last n entries of each key, newest first: keys, place, and the entry's columns."""
+    newest = Window.partitionBy(*keys).orderBy(F.desc(time), F.desc(tie))
+    # A filter on the row number of a window is pushed below its shuffle: n rows of a key leave each task, however hot it is.
+    rows = log.withColumn("__n", F.row_number().over(newest)).filter(F.col("__n") <= n)
+    return rows.select(*keys, (F.col("__n") - 1).alias("place"), *[c for c in log.columns if c not in keys])
 
 
 def plan(named: list[tuple[str, Callable]], enabled: dict[str, bool]) -> list[tuple[str, Callable]]:

@@ -38,6 +38,24 @@ def guaranteed(left: DataFrame, results: DataFrame, on: list[str], value: str, e
     return both.withColumn(error, F.when(F.col("__hit"), F.col(error)).otherwise(F.lit(message))).drop("__hit")
 
 
+def default_if_empty(df: DataFrame, default: DataFrame) -> DataFrame:
+    """df, or the default's rows (same columns, by name) if it has none."""
+    some = df.limit(1).select(F.lit(True).alias("__any"))
+    return df.unionByName(default.join(some, F.col("__any"), "left_anti"))
+
+
+def default_per_key(known: DataFrame, rows: DataFrame, on: list[str], defaults: dict[str, Column]) -> DataFrame:
+    """rows, and one row of defaults (expressions on known's columns) for every key of `known` that has none."""
+    lone = known.join(rows.select(*on), on, "left_anti").select(*on, *[c.alias(n) for n, c in defaults.items()])
+    return rows.select(*on, *defaults).unionByName(lone)
+
+
+def usable_audio(results: DataFrame, files: DataFrame, path: str, error: str, fallback: DataFrame) -> DataFrame:
+    """Results without an error whose file exists (files: path); the fallback's rows if there are none."""
+    good = results.filter(F.col(error).isNull() & F.col(path).isNotNull()).join(files.select(path).distinct(), path, "left_semi")
+    return default_if_empty(good, fallback)
+
+
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key in the order (last wins), by a partial aggregate; ties go to the largest row."""
     rest = [c for c in df.columns if c not in keys]
@@ -97,11 +115,17 @@ def mapped(key: Column, entries: dict[str, str], default: Column | None = None)
     return F.coalesce(F.try_element_at(table, key), key if default is None else default)
 
 
-def preferred(available: DataFrame, name: str, prefer: str | None, priority: list[str]) -> DataFrame:
-    """The preferred entry if available, else the first available of the priority list; no row if none is."""
+def preferred(available: DataFrame, name: str, prefer: str | None, priority: list[str], required: bool = False) -> DataFrame:
+    """The preferred entry if available, else the first available of the priority list.
+
+    If none is: no row, or an error if one is required.
+    """
     ranks = {n: i + 1 for i, n in enumerate(priority)}
     order = F.when(F.col(name) == F.lit(prefer or ""), 0)
     for n, i in ranks.items():
         order = order.when(F.col(name) == n, i)
     ranked = available.withColumn("__rank", order).filter("__rank is not null")
-    return ranked.agg(F.min(F.struct("__rank", name)).alias("x")).filter("x is not null").select(F.col(f"x.{name}").alias(name))
+    found = ranked.agg(F.min(F.struct("__rank", name)).alias("x")).select(F.col(f"x.{name}").alias(name))
+    if required:
+        return found.select(F.coalesce(name, F.raise_error(F.lit(f"none of {[prefer, *priority]} is available")).cast("string")).alias(name))
+    return found.filter(F.col(name).isNotNull())

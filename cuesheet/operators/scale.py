@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _with_carry(df: DataFrame, keys: list[str], bucket: str, summary: list[Column], carry: dict[str, Column]) -> DataFrame:
-    """df with the carry columns, each computed over the per-bucket summary rows before this one's bucket."""
+def _with_carry(df: DataFrame, keys: list[str], bucket: str, summary: list[Column], carry: dict[str, Column], after: bool = False) -> DataFrame:
+    """df with the carry columns, each computed over the per-bucket summary rows before (or after) this one's bucket."""
     per = df.groupBy(*keys, bucket).agg(*summary)
-    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select(*keys, bucket, *[c.over(before).alias(n) for n, c in carry.items()])
+    order = Window.partitionBy(*keys).orderBy(bucket)
+    others = order.rowsBetween(1, Window.unboundedFollowing) if after else order.rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*keys, bucket, *[c.over(others).alias(n) for n, c in carry.items()])
     on = [df[k].eqNullSafe(per[k]) for k in [*keys, bucket]]
     condition = on[0]
     for c in on[1:]:
@@ -65,3 +66,12 @@ def neighbours(df: DataFrame, keys: list[str], order: list[str], bucket: Column,
     rows = rows.withColumn("__r", F.row_number().over(own))
     rows = _with_carry(rows, keys, "__b", [F.max_by(value, "__r").alias("__m")], {"__before": F.last("__m")})
     return rows.withColumn(name, F.when(F.col("__r") == 1, F.col("__before")).otherwise(F.lag(value).over(own))).drop("__b", "__r", "__before")
+
+
+def successors(df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: Column, name: str) -> DataFrame:
+    """df with the value (no null) of the row just after, in the order of its key (null for the last)."""
+    rows = df.withColumns({"__b": bucket, "__v": value})
+    own = Window.partitionBy(*keys, "__b").orderBy(*order)
+    rows = rows.withColumns({"__r": F.row_number().over(own), "__lead": F.lead("__v").over(own)})
+    rows = _with_carry(rows, keys, "__b", [F.min_by("__v", "__r").alias("__m")], {"__after": F.first("__m")}, after=True)
+    return rows.withColumn(name, F.coalesce("__lead", "__after")).drop("__b", "__v", "__r", "__lead", "__after")

@@ -13,6 +13,8 @@ from cuesheet.operators import scale
 
 #: Seconds of a time bucket for ordered work.
 BUCKET_S = 3600.0
+#: Rows of a block for windows over places.
+_BLOCK = 4096
 
 
 def bucket_of(start: str = "seg_start", width: float = BUCKET_S) -> Column:
@@ -117,17 +119,41 @@ def tumbling_cuts(df: DataFrame, total: Column, width: float = 180.0) -> DataFra
     return rows.withColumns({"index": F.col("__i") + 1, "cut_start": at, "cut_length": F.least(F.lit(width), F.col("__t") - at)}).drop("__t", "__i")
 
 
+def overlapping_cuts(df: DataFrame, total: Column, width: float, overlap: float = 0.1) -> DataFrame:
+    """Rows of `width` seconds that begin `overlap` before the last one's end: index from 1, cut_start, cut_length.
+
+    The first row that reaches the total is the last, so there is no row of mere overlap; no total, no rows.
+    """
+    if not 0 <= overlap < width:
+        raise ValueError("overlap must be less than width")
+    step = width - overlap
+    n = F.when(total > 0, F.greatest(F.ceil((total - F.lit(overlap)) / F.lit(step)), F.lit(1))).otherwise(0).cast("int")
+    rows = df.withColumn("__t", total).withColumn("__i", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))))
+    at = F.col("__i") * F.lit(step)
+    return rows.withColumns({"index": F.col("__i") + 1, "cut_start": at, "cut_length": F.least(F.lit(width), F.col("__t") - at)}).drop("__t", "__i")
+
+
 def _covered(df: DataFrame, low: str, high: str, width: float) -> DataFrame:
     return df.withColumn("__b", F.explode(F.sequence(F.floor(F.col(low) / F.lit(width)), F.floor(F.col(high) / F.lit(width)))))
 
 
-def overlap_argmax(left: DataFrame, right: DataFrame, keys: list[str], label: str, fallback: str, width: float = BUCKET_S) -> DataFrame:
+def bucket_width(right: DataFrame, keys: list[str], rows: int = 64) -> float:
+    """Seconds in which a key of `right` has about `rows` rows that begin there, and not less than their mean length."""
+    per = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.max("seg_end") - F.min("seg_start")).alias("span"), F.avg(F.col("seg_end") - F.col("seg_start")).alias("mean"))
+    # The densest key decides: with wider buckets for others nothing is lost but a few comparisons.
+    found = per.agg(F.min(F.col("span") / F.col("n") * rows).alias("width"), F.max("mean").alias("mean")).first()
+    return max(found["width"] or 0.0, found["mean"] or 0.0, 1e-3)
+
+
+def overlap_argmax(left: DataFrame, right: DataFrame, keys: list[str], label: str, fallback: str, width: float | None = None) -> DataFrame:
     """left with `label` of the right interval that overlaps it most; else of the nearest midpoint; else fallback.
 
     Both sides: keys, pos, seg_start, seg_end; a right row of the left row's own pos is not considered. Ties
     go to the earlier right row (by start, then pos). Only intervals that share a time bucket are compared,
-    and each pair in the first bucket they share, so a long timeline is spread over its buckets.
+    and each pair in the first bucket they share, so a long timeline is spread over its buckets. Their width is
+    measured, if not given: a denser timeline has shorter buckets, not more pairs.
     """
+    width = width or bucket_width(right, keys)
     a = _covered(left, "seg_start", "seg_end", width)
     b = _covered(right.select(*keys, F.col("pos").alias("rp"), F.col("seg_start").alias("rs"), F.col("seg_end").alias("re"), F.col(label).alias("rl")), "rs", "re", width)
     both = a.join(b, [*keys, "__b"])
@@ -202,10 +228,13 @@ def run_gate(df: DataFrame, keys: list[str], least: int = 6, chunk: int = 600, i
 
 
 def suppress_runs(df: DataFrame, keys: list[str], order: list[str], bucket: Column, member: str, most: int = 5) -> DataFrame:
-    """df without the members of a run beyond its first `most`; others end a run."""
-    rows = runs(df, keys, order, bucket, member, "__run")
-    place = F.row_number().over(Window.partitionBy(*keys, "__run").orderBy(*order))
-    return rows.withColumn("__n", place).filter(~F.col(member) | (F.col("__n") <= most)).drop("__n", "__run")
+    """df without the members of a run beyond its first `most`; others end a run. Runs may be of any length."""
+    rows = scale.neighbours(df, keys, order, bucket, member, "__last")
+    rows = scale.position(rows, keys, order, bucket, "__p")
+    rows = rows.withColumn("__first", F.when(F.col("__last").isNull() | (F.col("__last") != F.col(member)), F.col("__p")))
+    rows = scale.running_max(rows, keys, order, bucket, "__first", "__before")
+    place = F.col("__p") - F.coalesce("__first", "__before") + 1
+    return rows.filter(~F.col(member) | (place <= most)).drop("__last", "__p", "__first", "__before")
 
 
 def keyframes(df: DataFrame, keys: list[str], every: int, idx: str = "idx") -> DataFrame:
@@ -221,9 +250,12 @@ def smooth_forward(df: DataFrame, keys: list[str], value: str, window: int = 5,
     from the end of each key. Keys with fewer than `window` rows keep the truncated mean of all of them.
     """
     n = df.groupBy(*keys).agg(F.max(idx).alias("__max"))
-    rows = df.join(n, keys)
-    forward = Window.partitionBy(*keys, F.lit(1)).orderBy(idx).rowsBetween(0, window - 1)
-    rows = rows.withColumn("__body", F.avg(value).over(forward).cast("long"))
+    # Blocks of a key are averaged apart: the first rows of the next block stand at the end of each.
+    block = F.floor(F.col(idx) / F.lit(_BLOCK))
+    copies = F.when(F.col(idx) % _BLOCK < window - 1, F.array(block, block - 1)).otherwise(F.array(block))
+    rows = df.join(n, keys).withColumn("__block", F.explode(copies))
+    forward = Window.partitionBy(*keys, "__block").orderBy(idx).rowsBetween(0, window - 1)
+    rows = rows.withColumn("__body", F.avg(value).over(forward).cast("long")).filter(F.col("__block") == block).drop("__block")
     size = F.col("__max") + 1
     tail = rows.filter(F.col(idx) > F.col("__max") - 2 * window).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(idx, value, "__body"))).alias("t"), F.first("__max").alias("__m"))
     start = F.transform("t", lambda x: F.when(x[idx] <= F.col("__m") - window + 1, x["__body"]).otherwise(x[value].cast("long")))
@@ -245,8 +277,8 @@ def resolve_boxes(keys_df: DataFrame, keys: list[str], n: Column, every: int, ju
     To the next key frame, if it is valid and no cut, boxes are interpolated (rounded half to even). Otherwise
     the box goes to the frames within every-1 of it that no earlier key frame has set; interpolation always sets.
     """
-    order = Window.partitionBy(*keys).orderBy("idx")
-    k = keys_df.withColumns({"i1": F.lead("idx").over(order), "b1": F.lead("box").over(order), "v1": F.lead("valid").over(order), "n": n}).filter("valid")
+    k = scale.successors(keys_df, keys, ["idx"], F.floor(F.col("idx") / F.lit(_BLOCK)), F.struct("idx", "box", "valid"), "__next")
+    k = k.withColumns({"i1": F.col("__next.idx"), "b1": F.col("__next.box"), "v1": F.col("__next.valid"), "n": n}).drop("__next").filter("valid")
     def centre(b: str, lo: int, hi: int) -> Column:
         return (F.col(b)[lo] + F.col(b)[hi]) * 0.5
     def size(b: str) -> Column:

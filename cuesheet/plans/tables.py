@@ -350,12 +350,14 @@ RANK_SHARD = f"WITH {_INDEXED} SELECT utt, spk FROM ix WHERE idx % 3 = 1 AND (id
 def padded_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.slice("embedding", 1, (F.col("vec_id") % 9 + 1).cast("int")).alias("v"), F.when(F.col("vec_id") % 50 > 0, F.col("label")).alias("extra"))
     out = batching.padded_batch(e.withColumn("batch", F.floor(F.col("vec_id") / 16)), ["batch"], "v", "vec_id", F.lit(0.0).cast("float"), ["extra"])
-    return out.select("batch", F.array_join(F.transform("vec_id", lambda x: x.cast("string")), ",").alias("ids"), F.array_join(F.transform("v_len", lambda x: x.cast("string")), ",").alias("lens"), F.size(F.flatten("v")).alias("cells"), F.size("extra").alias("n_extra"))
+    return out.select("batch", F.array_join(F.transform("vec_id", lambda x: x.cast("string")), ",").alias("ids"), F.array_join(F.transform("v_len", lambda x: x.cast("string")), ",").alias("lens"), F.size(F.flatten("v")).alias("cells"), F.size("extra").alias("n_extra"), F.md5(F.array_join(F.transform(F.flatten("v"), lambda x: F.floor(x.cast("double") * 1e6 + 0.5).cast("string")), ",")).alias("cells_md5"))
 
 
-PADDED_BATCH = """WITH e AS (SELECT vec_id // 16 AS batch, vec_id, vec_id % 9 + 1 AS n, CASE WHEN vec_id % 50 > 0 THEN label END AS extra FROM embeddings)
-SELECT batch, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY n DESC, vec_id) AS ids, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n DESC, vec_id) AS lens,
-  CAST(count(*) * max(n) AS INT) AS cells, CASE WHEN count(extra) = count(*) THEN CAST(count(*) AS INT) END AS n_extra FROM e GROUP BY batch"""
+PADDED_BATCH = """WITH e AS (SELECT vec_id // 16 AS batch, vec_id, vec_id % 9 + 1 AS n, CASE WHEN vec_id % 50 > 0 THEN label END AS extra FROM embeddings),
+x AS (SELECT e.batch, e.vec_id, e.n, i, CASE WHEN i < e.n THEN embedding[i + 1]::DOUBLE ELSE 0 END AS x FROM e JOIN embeddings USING (vec_id) JOIN (SELECT batch, max(n) AS m FROM e GROUP BY batch) USING (batch), (SELECT unnest(range(0, 9)) AS i) WHERE i < m),
+c AS (SELECT batch, md5(string_agg(CAST(CAST(floor(x * 1e6 + 0.5) AS BIGINT) AS VARCHAR), ',' ORDER BY n DESC, vec_id, i)) AS cells_md5 FROM x GROUP BY batch)
+SELECT batch, any_value(cells_md5) AS cells_md5, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY n DESC, vec_id) AS ids, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n DESC, vec_id) AS lens,
+  CAST(count(*) * max(n) AS INT) AS cells, CASE WHEN count(extra) = count(*) THEN CAST(count(*) AS INT) END AS n_extra FROM e JOIN c USING (batch) GROUP BY batch"""
 
 
 def topn_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -389,6 +391,9 @@ def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batching.shuffle_blocks(_indexed(spark, sf_dir), ["spk"], "idx", 7, 64).select("utt", "spk", F.col("shuffled_idx").cast("bigint").alias("shuffled_idx"))
 
 
+SEEDED_SHUFFLE = f"WITH {_INDEXED} SELECT utt, spk, idx // 64 * 64 + row_number() OVER (PARTITION BY spk, idx // 64 ORDER BY CAST('0x' || left(md5('7:' || idx || ':' || spk), 15) AS BIGINT), idx) - 1 AS shuffled_idx FROM ix"
+
+
 def crop_or_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").withColumn("v", F.transform(F.slice("embedding", 1, (F.col("vec_id") % 60 + 1).cast("int")), lambda x: x.cast("double")))
     out = e.withColumn("c", batching.crop_or_pad(F.col("v"), 24, F.lit(3)))

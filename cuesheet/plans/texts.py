@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,10 +28,10 @@ def clean_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     raw = F.concat(F.lit("  "), F.col("text"), F.lit("<br/><|im_end|>\n<|im_start|>assistant"))
     raw = F.when(F.col("turn") % 4 == 3, F.concat(F.lit("原文："), raw)).otherwise(raw)
-    return c.select("conv_id", "turn", text.extract_translation(raw, F.substring("text", 1, 20)).alias("cleaned"))
+    return c.select("conv_id", "turn", text.extract_translation(raw, F.col("role")).alias("cleaned"))
 
 
-CLEAN_TRANSLATION = r"""WITH c AS (SELECT conv_id, turn, left(text, 20) AS original, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations)
+CLEAN_TRANSLATION = r"""WITH c AS (SELECT conv_id, turn, role AS original, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations)
 SELECT conv_id, turn, CASE WHEN turn % 4 = 3 OR (length(t) > 60 AND length(original) > 0 AND length(t) > 6 * length(original)) THEN '' ELSE t END AS cleaned FROM c"""
 
 
@@ -38,6 +41,33 @@ def clean_commentary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", text.clean_commentary(raw).alias("line"))
 
 
+def _clean_commentary_sql() -> str:
+    """The rules one after another, each a table of its own: a marker cuts what follows it."""
+    parts = [r"c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace('<|im_start|>' || chr(10) || '1. ' || text || ' (a note)' || chr(10) || '说明：x', '^\s+|\s+$', '', 'g'), '" + text.CHAT_TOKENS + r"', '', 'g'), '[（(][^)）]*[)）]', '', 'g') AS t FROM documents)"]
+    last = "c"
+    for i, m in enumerate(text.MARKERS):
+        q = f"'{m}'"
+        after = f"substr(t, instr(t, {q}) + {len(m)})"
+        rules = [f"instr(t, {q}) = 0 THEN t"]
+        if m in text.LABEL_MARKERS:
+            rules.append(f"instr(t, {q}) = 1 THEN regexp_replace({after}, '^[：: ]+', '')")
+        if m in text.HEADER_MARKERS:
+            tail = f"regexp_replace({after}, '^[：: \t]+', '')"
+            rules.append(f"instr(t, {q}) > 1 AND substr(t, instr(t, {q}) - 1, 1) = chr(10) AND {tail} <> '' THEN {tail}")
+        rules.append(f"instr(t, {q}) > 1 THEN left(t, instr(t, {q}) - 1)")
+        parts.append(f"m{i} AS (SELECT doc_id, CASE {' '.join('WHEN ' + r for r in rules)} ELSE t END AS t FROM {last})")
+        last = f"m{i}"
+    parts.append(f"h AS (SELECT doc_id, regexp_replace(regexp_replace(t, '{text.HEADER_LINE}', '', 'g'), '{text.INSTRUCTION_LINE}', '', 'g') AS t FROM {last})")
+    # A run of five or more of one mark at the end is one mark.
+    runs = "".join(f"WHEN regexp_matches(t, '{re.escape(c)}{{5,}}$') THEN regexp_replace(t, '{re.escape(c)}{{5,}}$', '{c}') " for c in "。！？….!?")
+    parts.append(f"e AS (SELECT doc_id, CASE {runs}ELSE t END AS t FROM h)")
+    parts.append(r"l AS (SELECT doc_id, list_transform(regexp_split_to_array(regexp_replace(t, '^\s+|\s+$', '', 'g'), '\r\n|\n|\r'), lambda x: regexp_replace(regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '" + text.NUMBERING + r"', ''), '^\s+|\s+$', '', 'g')) AS l FROM e)")
+    return f"WITH {', '.join(parts)} SELECT doc_id, coalesce(list_filter(l, lambda x: x <> '')[1], '') AS line FROM l"
+
+
+CLEAN_COMMENTARY = _clean_commentary_sql()
+
+
 def keyword_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).filter(text.has_words(F.col("text"), ["Password", "license", "the and"])).select("doc_id")
 
@@ -46,10 +76,15 @@ KEYWORD_ROWS = "SELECT doc_id FROM documents WHERE contains(lower(text), 'passwo
 
 
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", text.normalize_transcript(F.regexp_replace("text", r"[^\x00-\x7F]", "")).alias("norm"))
+    b = table(spark, sf_dir, "benchmark")
+    marked = F.concat(F.when(F.col("item_id") % 3 == 0, F.lit("「Ａ」，")).otherwise(F.lit("")), "text", F.lit("<sil> ｂ。don't、`<%>`？"))
+    return b.select("item_id", text.normalize_transcript(marked).alias("norm"))
 
 
-NORMALIZE_TEXT = r"""SELECT item_id, upper(regexp_replace(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), '[ !"#$%&()*+,./:;<=>?@\[\\\]^_`{|}~-]', '', 'g')) AS norm FROM benchmark"""
+_MARKS = "".join(dict.fromkeys(c for c in text.CJK_PUNCTUATION + string.punctuation if c != "'")).replace("'", "''")
+NORMALIZE_TEXT = f"""WITH t AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN '「Ａ」，' ELSE '' END || text || '<sil> ｂ。don''t、`<%>`？' AS t FROM benchmark),
+u AS (SELECT item_id, upper(replace(replace(replace(translate(t, '　 ', ''), '<sil>', ''), '<%>', ''), 'ß', 'SS')) AS t FROM t)
+SELECT item_id, translate(translate(translate(t, 'Ａａｂｃｋｔ', 'AABCKT'), '，丶。、？', ''), '{_MARKS}', '') AS norm FROM u"""
 
 
 def punct_only(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,23 +107,51 @@ TOKEN_IDS = f"WITH {FRAMES} SELECT vec_id, 64::INT AS n, true AS same, true AS s
 
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir)
-    return d.select("doc_id", F.posexplode(text.split_paragraph(F.col("text"), zh=False, length=F.char_length)).alias("pos", "sentence"))
+    return d.select("doc_id", F.posexplode(text.split_paragraph(_quoted(F.col("text")), zh=False, length=F.char_length)).alias("pos", "sentence"))
 
 
 def sentence_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir)
-    return d.select("doc_id", F.posexplode(text.cut_sentences(F.translate("text", '"”', ""), zh=False)).alias("pos", "sentence"))
+    return d.select("doc_id", F.posexplode(text.cut_sentences(_quoted(F.col("text")), zh=False)).alias("pos", "sentence"))
 
 
-SENTENCE_CUT = r"""WITH d AS (SELECT doc_id, regexp_replace(text, '["”]', '', 'g') AS t FROM documents),
-e AS (SELECT doc_id, regexp_extract_all(CASE WHEN regexp_matches(t, '[.?!;:]$') THEN t ELSE t || '.' END, '[^.?!;:]+[.?!;:]') AS s FROM d WHERE t <> '')
-SELECT doc_id, CAST(i - 1 AS INT) AS pos, s[i] AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM e)"""
+def _quoted(t: Column) -> Column:
+    """The text with a sentence of several marks and a closing quote put before it."""
+    return F.concat(F.lit("“Hi!!” “No?”; "), t)
+
+
+_SENTENCES = r"""d AS (SELECT doc_id, '“Hi!!” “No?”; ' || text AS t FROM documents),
+e AS (SELECT doc_id, regexp_extract_all(regexp_replace(CASE WHEN regexp_matches(t, '[.?!;:]$') THEN t ELSE t || '.' END, '([.?!;:])[.?!;:]+', '\1', 'g'), '[^.?!;:]+[.?!;:]["”]?(?:[.?!;:]["”]?)*') AS s FROM d),
+p AS (SELECT doc_id, i - 1 AS pos, s[i] AS s, regexp_extract(s[i], '^[^.?!;:]+[.?!;:]') AS h FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM e)),
+sentence AS (SELECT doc_id, pos, h || regexp_replace(substr(s, length(h) + 1), '[.?!;:]', '', 'g') AS sentence FROM p)"""
+SENTENCE_CUT = f"WITH {_SENTENCES} SELECT doc_id, CAST(pos AS INT) AS pos, sentence FROM sentence"
+SENTENCE_SPLIT = f"""WITH RECURSIVE {_SENTENCES},
+f AS (SELECT doc_id, pos, 0 AS piece, length(sentence) AS now FROM sentence WHERE pos = 0
+  UNION ALL SELECT s.doc_id, s.pos, CASE WHEN now + length(sentence) > 80 AND now > 60 THEN piece + 1 ELSE piece END, CASE WHEN now + length(sentence) > 80 AND now > 60 THEN length(sentence) ELSE now + length(sentence) END
+  FROM f JOIN sentence s ON s.doc_id = f.doc_id AND s.pos = f.pos + 1),
+z AS (SELECT doc_id, max(piece) AS last, arg_max(now, pos) AS size FROM f GROUP BY doc_id)
+SELECT doc_id, CAST(CASE WHEN piece = last AND last > 0 AND size < 20 THEN piece - 1 ELSE piece END AS INT) AS pos, string_agg(sentence, '' ORDER BY s.pos) AS sentence
+FROM f JOIN sentence s USING (doc_id, pos) JOIN z USING (doc_id) GROUP BY ALL"""
 
 
 def speech_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(text.normalize_for_speech(F.concat("text", F.lit(" 1234 items")))).alias("pos", "piece"))
 
 
+def _words(t: str) -> str:
+    return f"len(list_filter(regexp_split_to_array({t}, '\\s+'), lambda w: w <> ''))"
+
+
+#: The benchmark's texts have no digits of their own and no Han characters.
+SPEECH_PIECES = f"""WITH RECURSIVE {_SENTENCES.replace("'“Hi!!” “No?”; ' || text AS t FROM documents", "trim(text, ' ' || chr(10) || chr(9)) || ' one thousand, two hundred and thirty-four items' AS t FROM (SELECT item_id AS doc_id, text FROM benchmark)")},
+f AS (SELECT doc_id, pos, 0 AS piece, sentence AS now FROM sentence WHERE pos = 0
+  UNION ALL SELECT s.doc_id, s.pos, CASE WHEN {_words('now || sentence')} > 80 AND {_words('now')} > 60 THEN piece + 1 ELSE piece END, CASE WHEN {_words('now || sentence')} > 80 AND {_words('now')} > 60 THEN sentence ELSE now || sentence END
+  FROM f JOIN sentence s ON s.doc_id = f.doc_id AND s.pos = f.pos + 1),
+z AS (SELECT doc_id, max(piece) AS last, {_words('arg_max(now, pos)')} AS size FROM f GROUP BY doc_id),
+g AS (SELECT doc_id, CASE WHEN piece = last AND last > 0 AND size < 20 THEN piece - 1 ELSE piece END AS piece, string_agg(sentence, '' ORDER BY s.pos) AS s FROM f JOIN sentence s USING (doc_id, pos) JOIN z USING (doc_id) GROUP BY ALL)
+SELECT doc_id AS item_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY piece) - 1 AS INT) AS pos, s AS piece FROM g WHERE NOT regexp_full_match(s, '[\\p{{P}}\\p{{S}}]*')"""
+
+
 def hash_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
     return p.select("page_id", text.hash_prefix(F.col("url")).alias("h"), text.basename(F.regexp_replace("url", "[?#].*$", "")).alias("name"), text.suffix_index(F.concat(F.lit("part_"), F.col("page_id").cast("string"))).alias("n"))
@@ -131,10 +194,10 @@ SELECT conv_id, turn, md5('<|im_start|>user' || chr(10) || CASE WHEN coalesce(pr
 def rolling_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last three pairs from batches before the row's own, with batches of two turns."""
     c = table(spark, sf_dir, "conversations").withColumn("batch", F.floor(F.col("turn") / 2))
-    w = Window.partitionBy("conv_id").orderBy("batch").rangeBetween(Window.unboundedPreceding, -1)
-    pairs = F.array_sort(F.collect_list(F.struct("turn", "role")).over(w))
-    last = F.transform(F.slice("p", F.greatest(F.size("p") - 2, F.lit(1)), 3), lambda x: F.concat(x["turn"].cast("string"), x["role"]))
-    return c.withColumn("p", pairs).select("conv_id", "turn", F.array_join(last, ",").alias("context"))
+    # Three turns before the batch: a bounded frame, however long a conversation is.
+    w = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(-4, -1)
+    pairs = F.filter(F.array_sort(F.collect_list(F.struct("turn", "role", "batch")).over(w)), lambda x: (x["batch"] < F.col("batch")) & (x["turn"] >= F.col("batch") * 2 - 3))
+    return c.withColumn("p", pairs).select("conv_id", "turn", F.array_join(F.transform("p", lambda x: F.concat(x["turn"].cast("string"), x["role"])), ",").alias("context"))
 
 
 ROLLING_CONTEXT = """SELECT a.conv_id, a.turn, coalesce((SELECT string_agg(turn || role, ',' ORDER BY turn) FROM conversations b
@@ -281,29 +344,34 @@ SELECT vec_id, CAST(i AS INT) AS idx, CAST(floor((embedding[lo + 1]::DOUBLE * (1
 
 
 def preference_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Four values are the log-probabilities of a pair: sixteen pairs a vector.
+    e = _vectors(spark, sf_dir).select("vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.slice("v", i * 4 + 1, 4))).alias("pair", "v"))
     v = F.col("v")
-    e = _vectors(spark, sf_dir)
-    return e.select("vec_id", _u(arrays.preference_loss(v[0], v[1], v[2], v[3], 0.1, 0.05)).alias("loss_u"), _u(arrays.preference_loss(v[0], v[1], v[2], v[3], 0.1, squared=True)).alias("ipo_u"), _u(arrays.reward(F.abs(v[4]))).alias("reward_u"))
+    return e.select("vec_id", "pair", _u(arrays.preference_loss(v[0], v[1], v[2], v[3], 0.1, 0.05)).alias("loss_u"), _u(arrays.preference_loss(v[0], v[1], v[2], v[3], 0.1, squared=True)).alias("ipo_u"), _u(arrays.reward(F.abs(v[0]))).alias("reward_u"))
 
 
-_GAP = "((embedding[1]::DOUBLE - embedding[2]::DOUBLE) - (embedding[3]::DOUBLE - embedding[4]::DOUBLE))"
-PREFERENCE_LOSS = f"""SELECT vec_id, {_U.format(f'ln(1 + exp(-0.1::DOUBLE * {_GAP})) * 0.95::DOUBLE + ln(1 + exp(0.1::DOUBLE * {_GAP})) * 0.05::DOUBLE')} AS loss_u,
-  {_U.format(f'pow({_GAP} - 5.0::DOUBLE, 2)')} AS ipo_u, {_U.format('greatest(0.0, least(1.0, 1 - tanh(3 * abs(embedding[5]::DOUBLE))))')} AS reward_u FROM embeddings"""
+_GAP = "((embedding[i * 4 + 1]::DOUBLE - embedding[i * 4 + 2]::DOUBLE) - (embedding[i * 4 + 3]::DOUBLE - embedding[i * 4 + 4]::DOUBLE))"
+PREFERENCE_LOSS = f"""SELECT vec_id, CAST(i AS INT) AS pair, {_U.format(f'ln(1 + exp(-0.1::DOUBLE * {_GAP})) * 0.95::DOUBLE + ln(1 + exp(0.1::DOUBLE * {_GAP})) * 0.05::DOUBLE')} AS loss_u,
+  {_U.format(f'pow({_GAP} - 5.0::DOUBLE, 2)')} AS ipo_u, {_U.format('greatest(0.0, least(1.0, 1 - tanh(3 * abs(embedding[i * 4 + 1]::DOUBLE))))')} AS reward_u FROM embeddings, (SELECT unnest(range(0, 16)) AS i)"""
 
 
 def cross_fade(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
     w = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: (i + 1) / F.lit(8.0))
-    return _long(v.withColumn("o", arrays.cross_fade(F.slice("v", 1, 16), F.slice("v", 17, 16), w)), "o")
+    return _long(v.withColumn("o", arrays.cross_fade(F.slice("v", 1, 32), F.slice("v", 33, 32), w)), "o")
 
 
-CROSS_FADE = f"""SELECT vec_id, CAST(i AS INT) AS idx, {_U.format('CASE WHEN i < 4 THEN embedding[i + 1]::DOUBLE * ((i + 1) / 8.0::DOUBLE) + embedding[29 + i]::DOUBLE * ((i + 5) / 8.0::DOUBLE) ELSE embedding[i + 1]::DOUBLE END')} AS y_u
-FROM (SELECT vec_id, embedding, unnest(range(0, 16)) AS i FROM embeddings)"""
+CROSS_FADE = f"""SELECT vec_id, CAST(i AS INT) AS idx, {_U.format('CASE WHEN i < 4 THEN embedding[i + 1]::DOUBLE * ((i + 1) / 8.0::DOUBLE) + embedding[61 + i]::DOUBLE * ((i + 5) / 8.0::DOUBLE) ELSE embedding[i + 1]::DOUBLE END')} AS y_u
+FROM (SELECT vec_id, embedding, unnest(range(0, 32)) AS i FROM embeddings)"""
 
 
 def overlap_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    return _long(v.withColumn("o", arrays.overlap_add(F.array(F.slice("v", 1, 16), F.slice("v", 17, 16), F.slice("v", 33, 16)), 4)), "o")
+    return _long(v.withColumn("o", arrays.overlap_add(F.array(*[F.slice("v", 16 * k + 1, 16) for k in range(4)]), 4)), "o")
+
+
+OVERLAP_ADD = f"""WITH {FRAMES}, c AS (SELECT vec_id, idx // 16 * 12 + idx % 16 AS p, x * CASE WHEN idx >= 16 AND idx % 16 < 4 THEN idx % 16 / 3.0::DOUBLE ELSE 1 END * CASE WHEN idx < 48 AND idx % 16 >= 12 THEN 1 - (idx % 16 - 12) / 3.0::DOUBLE ELSE 1 END AS x FROM frame)
+SELECT vec_id, CAST(p AS INT) AS idx, {_U.format('sum(x)')} AS y_u FROM c GROUP BY vec_id, p"""
 
 
 def rate_curves(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -231,6 +231,16 @@ def smooth_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.smooth_forward(f.select("vec_id", "idx", "v"), ["vec_id"], "v").select("vec_id", "idx", "smooth")
 
 
+SMOOTH_BOXES = f"""WITH {FRAMES}, v AS (SELECT vec_id, idx, CAST(floor(x * 1000) AS BIGINT) AS v FROM frame),
+b AS (SELECT *, CAST(trunc(avg(v) OVER (PARTITION BY vec_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) AS BIGINT) AS body FROM v),
+t AS (SELECT vec_id, max(body) FILTER (WHERE idx = 59) AS s59, max(v) FILTER (WHERE idx = 60) AS v60, max(v) FILTER (WHERE idx = 61) AS v61, max(v) FILTER (WHERE idx = 62) AS v62, max(v) FILTER (WHERE idx = 63) AS v63 FROM b GROUP BY vec_id),
+t0 AS (SELECT *, CAST(trunc((s59 + v60 + v61 + v62 + v63) / 5.0::DOUBLE) AS BIGINT) AS s60 FROM t),
+t1 AS (SELECT *, CAST(trunc((s59 + s60 + v61 + v62 + v63) / 5.0::DOUBLE) AS BIGINT) AS s61 FROM t0),
+t2 AS (SELECT *, CAST(trunc((s59 + s60 + s61 + v62 + v63) / 5.0::DOUBLE) AS BIGINT) AS s62 FROM t1),
+t3 AS (SELECT *, CAST(trunc((s59 + s60 + s61 + s62 + v63) / 5.0::DOUBLE) AS BIGINT) AS s63 FROM t2)
+SELECT vec_id, CAST(idx AS INT) AS idx, CASE idx WHEN 60 THEN s60 WHEN 61 THEN s61 WHEN 62 THEN s62 WHEN 63 THEN s63 ELSE body END AS smooth FROM b JOIN t3 USING (vec_id)"""
+
+
 def interpolate_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key frames every 8 positions of an embedding; the box follows the value there."""
     f = frames(spark, sf_dir).filter("idx % 8 = 0")
@@ -240,6 +250,14 @@ def interpolate_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "frame", F.col("box")[0].alias("y1"), F.col("box")[1].alias("y2"), F.col("box")[2].alias("x1"), F.col("box")[3].alias("x2"))
 
 
+INTERPOLATE_BOXES = f"""WITH {FRAMES}, k AS (SELECT vec_id, idx, x * 100 AS x, abs(x) > 0.03::DOUBLE AS valid, lead(x * 100) OVER w AS x1, coalesce(lead(abs(x) > 0.03::DOUBLE) OVER w, false) AS v1 FROM frame WHERE idx % 8 = 0 WINDOW w AS (PARTITION BY vec_id ORDER BY idx)),
+s AS (SELECT *, v1 AND NOT sqrt(2 * pow(x - x1, 2)) > 48 AS smooth FROM k WHERE valid),
+a AS (
+  SELECT vec_id, idx + d AS frame, 1 AS kind, idx, x + (x1 - x) * d / 8 AS y1, x + 80 + (x1 - x) * d / 8 AS y2, x + 10 + (x1 - x) * d / 8 AS x1, x + 70 + (x1 - x) * d / 8 AS x2 FROM s, (SELECT unnest(range(0, 8)) AS d) WHERE smooth
+  UNION ALL SELECT vec_id, idx + d, 0, idx, x, x + 80, x + 10, x + 70 FROM s, (SELECT unnest(range(-7, 8)) AS d) WHERE NOT smooth AND idx + d BETWEEN 0 AND 63)
+SELECT vec_id, CAST(frame AS INT) AS frame, CAST(round_even(y1, 0) AS INT) AS y1, CAST(round_even(y2, 0) AS INT) AS y2, CAST(round_even(x1, 0) AS INT) AS x1, CAST(round_even(x2, 0) AS INT) AS x2
+FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, frame ORDER BY kind DESC, idx) AS r FROM a) WHERE r = 1"""
+
 QUERIES = {f.__name__: f for f in (seg_islands, seg_islands_summary, speech_ranges, gap_complement, timeline_rebase, tumbling_cuts, overlap_argmax, run_length_gate, ffill_default, run_suppression, keyframe_sample, range_lookup_median, sliding_rms_argmax, hop_windows, smooth_boxes, interpolate_boxes)}
 ORACLE = {
     "seg_islands": SEG_ISLANDS,
@@ -256,4 +274,6 @@ ORACLE = {
     "range_lookup_median": RANGE_LOOKUP_MEDIAN,
     "sliding_rms_argmax": SLIDING_RMS_ARGMAX,
     "hop_windows": HOP_WINDOWS,
+    "smooth_boxes": SMOOTH_BOXES,
+    "interpolate_boxes": INTERPOLATE_BOXES,
 }

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
 import urllib.request
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,15 +36,28 @@ def listed_shards(spark: SparkSession, list_path: str, limit: int = 100_000) ->
 
 
 def merged_json(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(key, value) of JSON objects of strings, file after file: later files win."""
-    parts = [spark.read.text(p, wholetext=True).select(F.lit(i).alias("ord"), F.explode(F.from_json("value", "map<string,string>")).alias("key", "value")) for i, p in enumerate(paths)]
-    return latest(reduce(DataFrame.unionByName, parts), ["key"], ["ord"]).select("key", "value")
+    """(key, value) of JSON objects of strings, file after file: later files (or folders of files) win.
+
+    All are read by one scan; a file's rank is that of its path, or its folder's, in the list.
+    """
+    def plain(path: str) -> str:
+        return re.sub("^file:/+", "/", path).rstrip("/")
+
+    order = spark.createDataFrame([(plain(p), i) for i, p in enumerate(paths)], "listed string, ord int")
+    path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
+    rows = spark.read.text(list(paths), wholetext=True).select("value", F.explode(F.array(path, F.regexp_replace(path, "/[^/]*$", ""))).alias("listed"))
+    rows = rows.join(order, "listed").select("ord", F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
+    return latest(rows, ["key"], ["ord"]).select("key", "value")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(utt, value) of lines `key value...`: words joined by one blank; of a repeated key the last line stays."""
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("ord"))
-    return latest(parse_manifest(raw.drop("f")), ["utt"], ["ord"]).select("utt", "value")
+    """(utt, value) of lines `key value...`: words joined by one blank; of a repeated key the last line stays.
+
+    Files go by name. Inside a file, parts that tasks read go by their offset, and rows of a part by their order.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    raw = spark.read.text(path).select("value", place.alias("ord"))
+    return latest(parse_manifest(raw), ["utt"], ["ord"]).select("utt", "value")
 
 
 def parse_manifest(raw: DataFrame) -> DataFrame:
@@ -140,14 +153,19 @@ def model_names(spark: SparkSession, base_url: str, timeout: float = 5.0) -> Dat
     return spark.createDataFrame([(n,) for n in names], "name string")
 
 
-def waveforms(spark: SparkSession, path: str, least_rate: int = 0):
-    """(path, sample_rate, speech) of 16-bit PCM WAV files, channels averaged; a rate under the least is an error."""
+def waveforms(spark: SparkSession, path: str, least_rate: int = 0, target_rate: int | None = None):
+    """(path, sample_rate, speech) of 16-bit PCM WAV files, channels averaged; a rate under the least is an error.
+
+    With a target rate other files are resampled to it.
+    """
     import io
     import wave
 
     import numpy as np
     import pandas as pd
 
+    from cuesheet.functions.arrays import band_limited
+
     def run(batches):
         for pdf in batches:
             rows = []
@@ -156,7 +174,8 @@ def waveforms(spark: SparkSession, path: str, least_rate: int = 0):
                     if w.getframerate() < least_rate:
                         raise ValueError(f"{p}: {w.getframerate()} Hz, less than {least_rate}")
                     x = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, w.getnchannels()).mean(axis=1) / 32768.0
-                    rows.append((p, w.getframerate(), x.astype(np.float32)))
+                    rate = target_rate or w.getframerate()
+                    rows.append((p, rate, band_limited(x, w.getframerate(), rate).astype(np.float32)))
             yield pd.DataFrame(rows, columns=["path", "sample_rate", "speech"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, sample_rate int, speech array<float>")

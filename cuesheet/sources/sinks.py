@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuesheet.operators import scale
@@ -63,10 +63,37 @@ def write_table(df: DataFrame, path: str, copy_to: str | None = None) -> None:
 
 
 def save_registry(registry: DataFrame, entries: DataFrame, key: str, path: str) -> None:
-    """The registry with entries put in place of those of the same id, written anew."""
-    upsert(registry, entries, [key]).write.mode("overwrite").parquet(path)
+    """The registry with entries put in place of those of the same id, written anew.
+
+    The registry may be read from that very path: all is written beside it before the old files go.
+    """
+    fresh = f"{path.rstrip('/')}.fresh"
+    upsert(registry, entries, [key]).write.mode("overwrite").parquet(fresh)
+    fs, old = _hadoop(registry.sparkSession, path)
+    fs.delete(old, True)
+    if not fs.rename(_hadoop(registry.sparkSession, fresh)[1], old):
+        raise OSError(f"cannot put {fresh} in the place of {path}")
+
+
+def write_report(metrics: DataFrame, name: str, value: str, path: str) -> None:
+    """Metrics as JSON lines under path/json and as text lines `name: value` under path/text."""
+    write_json(metrics, f"{path}/json")
+    metrics.select(F.concat(F.col(name).cast("string"), F.lit(": "), F.col(value).cast("string")).alias("value")).write.text(f"{path}/text")
 
 
 def cleared(inventory: DataFrame) -> DataFrame:
-    """(n_files, bytes) that clearing an inventory would remove; deleting is the caller's."""
+    """(n_files, bytes) that clearing an inventory would remove."""
     return inventory.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+
+
+def clear_cache(spark: SparkSession, folder: str, inventory: DataFrame) -> DataFrame:
+    """(n_files, bytes) of the inventory, whose folder is deleted."""
+    counted = cleared(inventory).first()
+    fs, path = _hadoop(spark, folder)
+    fs.delete(path, True)
+    return spark.createDataFrame([tuple(counted)], "n_files bigint, bytes bigint")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -63,6 +64,32 @@ def with_retries(df: DataFrame, call: Callable[[str, str | None], str], column:
     return df.mapInPandas(run, schema)
 
 
+def until_cancelled(df: DataFrame, call: Callable[[str], str], column: str, marker: str, out: str = "result") -> DataFrame:
+    """df with out and out_status: rows are answered until a marker file appears, which is looked for before every batch of rows.
+
+    Rows that came before it keep their answers (`done`); the others are null (`cancelled`). marker: a path in a
+    folder that all executors see.
+    """
+    schema = df.withColumn(out, F.lit(None).cast("string")).withColumn(f"{out}_status", F.lit("")).schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if os.path.exists(marker.removeprefix("file://")):
+                yield pdf.assign(**{out: None, f"{out}_status": "cancelled"})
+            else:
+                yield pdf.assign(**{out: [call(v) for v in pdf[column]], f"{out}_status": "done"})
+
+    return df.mapInPandas(run, schema)
+
+
+def longest_attempt(attempts: DataFrame, keys: list[str], attempt: str, length: str, plausible: str) -> DataFrame:
+    """One attempt of each key: the first of a plausible length, else the longest (the first of equals)."""
+    good = F.min(F.when(F.col(length) >= F.col(plausible), F.struct(attempt, length))).alias("good")
+    best = F.max(F.struct(F.col(length).alias("l"), (-F.col(attempt)).alias("a"))).alias("best")
+    chosen = attempts.groupBy(*keys).agg(good, best)
+    return chosen.select(*keys, F.coalesce(F.col(f"good.{attempt}"), -F.col("best.a")).alias(attempt), F.coalesce(F.col(f"good.{length}"), F.col("best.l")).alias(length))
+
+
 def longest_take(make: Callable[[str, int], list], plausible: Callable[[str], float], attempts: int = 4) -> Callable[[str], list]:
     """A function that tries seeds until a take is plausibly long, and else returns the longest."""
 

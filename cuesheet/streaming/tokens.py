@@ -8,11 +8,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from cuesheet.functions import arrays
+from cuesheet.functions.jsonio import let
+
 CHUNK = "request string, chunk int, first int, last int, seen_to int, tokens array<int>, final boolean"
 _STATE = "buffer array<int>, offset int, hop int, chunk int, silent int, base int"
 
@@ -59,16 +63,18 @@ def chunk_stream(tokens: DataFrame, hops: Hops = Hops(), silent: frozenset[int]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         buffer, offset, hop, chunk, run, base = state.get if state.exists else ([], 0, hops.hop, 0, 0, 0)
-        buffer = list(buffer)
-        rows, ended = [], False
+        rows = []
         pdf = pd.concat(list(frames)).sort_values("seq", kind="stable")
-        for token, end in zip(pdf["token"], pdf["ended"], strict=True):
-            ended = ended or bool(end)
-            if pd.isna(token):
-                continue
-            run = run + 1 if int(token) in silent else 0
-            if run <= most_silent:
-                buffer.append(int(token))
+        ended = bool(pdf["ended"].fillna(False).astype(bool).any())
+        fresh = pdf["token"].dropna().to_numpy(np.int64)
+        quiet = np.isin(fresh, list(silent))
+        # The place of each token in its silent run; the first run goes on from the last batch's.
+        place = np.arange(len(fresh))
+        spoken = np.maximum.accumulate(np.where(quiet, -1, place)) if len(fresh) else place
+        runs = np.where(spoken < 0, run + place + 1, place - spoken)
+        if len(fresh):
+            run = int(runs[-1])
+        buffer = [*buffer, *fresh[~quiet | (runs <= most_silent)].tolist()]
         while True:  # buffer[0] is token number `offset`
             width = hops.first if offset == 0 else hop
             if len(buffer) < width + hops.lookahead:
@@ -98,9 +104,11 @@ def chunk_bounds(n: Column, hops: Hops = Hops(), longest: int = 1 << 16) -> Colu
     count = F.greatest(F.floor((n - hops.lookahead - last) / F.lit(hops.most)).cast("int"), F.lit(0))
     more = F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.lit(last) + i * hops.most)).otherwise(F.array().cast("array<int>"))
     ends = F.filter(F.concat(F.slice(grown, 2, len(starts)), more), lambda e: e + hops.lookahead <= n)
-    edges = F.concat(F.array(F.lit(0)), ends)
-    size = F.size(edges)
-    return F.transform(edges, lambda e, i: F.struct(e.alias("first"), F.coalesce(F.get(edges, i + 1), n).alias("last"), (i == size - 1).alias("final")))
+
+    def bounds(edges: Column) -> Column:
+        return F.transform(edges, lambda e, i: F.struct(e.alias("first"), F.coalesce(F.get(edges, i + 1), n).alias("last"), (i == F.size(edges) - 1).alias("final")))
+
+    return let(F.concat(F.array(F.lit(0)), ends), bounds)
 
 
 def exponential_hops(rate: int = 25, first: int = 15, n: int = 8) -> list[int]:
@@ -117,7 +125,7 @@ def replay(tokens: Column, sizes: list[int]) -> Column:
     n = F.size(tokens)
     more = F.when(n > at, F.sequence(F.lit(at), n - 1, F.lit(sizes[-1]))).otherwise(F.array().cast("array<int>"))
     edges = F.filter(F.concat(F.array(*[F.lit(s) for s in starts]), more), lambda s: s < n)
-    return F.transform(edges, lambda e, i: F.slice(tokens, e + 1, F.coalesce(F.get(edges, i + 1), n) - e))
+    return let(edges, lambda edges: F.transform(edges, lambda e, i: F.slice(tokens, e + 1, F.coalesce(F.get(edges, i + 1), n) - e)))
 
 
 def overlapping(tokens: Column, hop: int, overlap: int = 20) -> Column:
@@ -129,6 +137,25 @@ def overlapping(tokens: Column, hop: int, overlap: int = 20) -> Column:
     return F.concat(full, F.array(rest))
 
 
+def cross_faded(values: Column, hop: int, overlap: int = 20) -> Column:
+    """The values as they are heard when their overlapping windows are sent one after another, each faded into the next."""
+    return arrays.overlap_add(overlapping(values, hop, overlap), overlap)
+
+
+def interleaved(tokens: DataFrame, keys: list[str], kind: str = "kind", idx: str = "idx", n_text: int = 5, n_speech: int = 15) -> DataFrame:
+    """tokens with `place`: where each stands when text and speech take turns of n_text and n_speech.
+
+    tokens: keys, kind (text or speech), idx from 0. A turn of speech follows each whole turn of text; when the
+    text has ended the speech goes on alone. Places come from the counts of a key, without a sort of its tokens.
+    """
+    is_text = F.col(kind) == "text"
+    sizes = tokens.groupBy(*keys).agg(F.count_if(is_text).alias("__t"), F.count_if(~is_text).alias("__s"))
+    turn = F.floor(F.col(idx) / F.when(is_text, n_text).otherwise(n_speech))
+    text_at = F.col(idx) + F.least(F.col("__s"), turn * n_speech)
+    speech_at = F.col(idx) + F.when(turn < F.floor(F.col("__t") / n_text), (turn + 1) * n_text).otherwise(F.col("__t"))
+    return tokens.join(sizes, keys).withColumn("place", F.when(is_text, text_at).otherwise(speech_at).cast("bigint")).drop("__t", "__s")
+
+
 def interleave(texts: list[int], speech: list[int], n_text: int = 5, n_speech: int = 15) -> list[tuple[str, int]]:
     """Text and speech tokens in turns of n_text and n_speech; when the text has ended the speech goes on alone."""
     out, i, j = [], 0, 0
