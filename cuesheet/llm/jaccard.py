@@ -4,8 +4,8 @@ Sets are the distinct word shingles of whole documents; two link when their Jacc
 reaches a threshold, and the result is the component of every document. In steps:
 
 1. Count filter. A set that links shares at least threshold x its size with one other set. Shingles are
-   dealt to shards by hash, as packed arrays, and counted there; sets of which too few shingles occur
-   elsewhere are done. Hash collisions can only let more sets through.
+   counted in each map batch, then dealt to shards by hash, as packed arrays, and counted there; sets of
+   which too few shingles occur elsewhere are done. Hash collisions can only let more sets through.
 2. Equal sets are one node. The nodes' sets are read again from the text, picked by a bitmap of fixed
    size before the shuffle and by a join after it.
 3. PartEnum. Sizes fall into bands so that linked sets are in one band or in neighbours; for a band
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuesheet.llm.graph import components
-from cuesheet.llm.runtime import mix64, run_hashes, shuffle_partitions, span_hashes, text_pieces, word_spans, written
+from cuesheet.llm.runtime import dealt_by_shard, mix64, run_hashes, shard_count, shuffle_partitions, span_hashes, text_pieces, word_spans, written
 
 SHINGLE = 5
 #: The similarity threshold, in hundredths.
@@ -48,8 +48,10 @@ BITMAP_BITS = 25
 PROFILE = 256
 _FLUSH = 1_000_000
 
-_HEAD = np.dtype([("id", "<i8"), ("null", "?"), ("n", "<u4"), ("hi", "<i8"), ("lo", "<i8")])
+#: shared and weight: what the batch knows by itself.
+_HEAD = np.dtype([("id", "<i8"), ("null", "?"), ("n", "<u4"), ("hi", "<i8"), ("lo", "<i8"), ("shared", "<u4"), ("weight", "<f4")])
 _SEEN = np.dtype([("doc", "<u2"), ("shared", "<u4"), ("weight", "<f4")])
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, length: int = SHINGLE) -> list[np.ndarray]:
@@ -73,8 +75,21 @@ def _set_key(s: np.ndarray) -> tuple[int, int]:
     return int(np.uint64(a).view(np.int64)), int(np.uint64(b).view(np.int64))
 
 
+def _by_shard(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by shard, shards met, where each begins, and the end) of hashes."""
+    shard = ((hashes >> np.uint64(32)) % np.uint64(shards)).astype(np.uint32)
+    order = np.argsort(shard.astype(np.uint16) if shards < 65536 else shard, kind="stable")
+    ranked = shard[order]
+    first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1]))) if len(ranked) else np.zeros(0, np.int64)
+    return order, ranked[first], np.append(first, len(ranked))
+
+
 def _dealt(docs: DataFrame, shards: int, length: int) -> DataFrame:
-    """Packed rows (shard, batch, kind, body): for each batch one head, and the shingles of each shard."""
+    """Packed rows (shard, batch, kind, body, docs, more): for each batch one head, and the shingles of each shard.
+
+    A shingle that several documents of the batch have is counted for them here; only one entry of it, in `more`,
+    goes to its shard, so a shingle that a third of all documents have gives an entry a batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
@@ -87,23 +102,37 @@ def _dealt(docs: DataFrame, shards: int, length: int) -> DataFrame:
             key = (part << 32) | number
             all_ = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             doc = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
-            shard = ((all_ >> np.uint64(32)) % np.uint64(shards)).astype(np.uint32)
-            order = np.argsort(shard.astype(np.uint16) if shards < 65536 else shard, kind="stable")
-            doc, low = doc[order], (all_[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            rows = [(number % shards, key, 0, np.array(heads, _HEAD).tobytes(), b"")]
-            for i in range(shards):
-                a, b = cuts[i], cuts[i + 1]
-                if b > a:
-                    rows.append((i, key, 1, low[a:b].tobytes(), _runs(doc[a:b])))
+            order = np.argsort(all_)
+            ranked = all_[order]
+            first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1]))) if len(ranked) else np.zeros(0, np.int64)
+            count = np.diff(np.append(first, len(ranked)))
+            common = first[count > 1]
+            often = np.ones(len(ranked), np.int64)
+            often[order] = np.repeat(count, count)
+            head = np.array(heads, _HEAD)
+            head["shared"] = np.bincount(doc[often > 1], minlength=len(sets))
+            head["weight"] = np.bincount(doc, np.log2(often), minlength=len(sets))
+            rows = [(number % shards, key, 0, head.tobytes(), b"", b"")]
+            alone = often == 1
+            single, doc, more = all_[alone], doc[alone], ranked[common]
+            bodies: dict[int, tuple] = {}
+            order, met, cuts = _by_shard(single, shards)
+            low, doc = (single[order] & _LOW).astype("<u4"), doc[order]
+            for i, a, b in zip(met.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                bodies[i] = (low[a:b].tobytes(), _runs(doc[a:b]), b"")
+            order, met, cuts = _by_shard(more, shards)
+            low = (more[order] & _LOW).astype("<u4")
+            for i, a, b in zip(met.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                bodies[i] = (*bodies.get(i, (b"", b""))[:2], low[a:b].tobytes())
+            rows += [(i, key, 1, *body) for i, body in bodies.items()]
             number, heads, sets, held = number + 1, [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shard", "batch", "kind", "body", "docs"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["shard", "batch", "kind", "body", "docs", "more"])
 
         for batch in batches:
             ids, null = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), batch.column(0).is_null().to_numpy(zero_copy_only=False)
             for first, _, data, offsets in text_pieces(batch, "text"):
                 for i, s in enumerate(shingle_sets(data, offsets, length), first):
-                    heads.append((ids[i], null[i], len(s), *_set_key(s)))
+                    heads.append((ids[i], null[i], len(s), *_set_key(s), 0, 0.0))
                     sets.append(s)
                     held += len(s)
                     if held >= _FLUSH or len(sets) >= 60_000:
@@ -111,7 +140,7 @@ def _dealt(docs: DataFrame, shards: int, length: int) -> DataFrame:
         if heads:
             yield flushed()
 
-    return docs.mapInArrow(run, "shard int, batch bigint, kind int, body binary, docs binary")
+    return docs.mapInArrow(run, "shard int, batch bigint, kind int, body binary, docs binary, more binary")
 
 
 def _runs(doc: np.ndarray) -> bytes:
@@ -132,17 +161,22 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["batch", "kind", "body"])
 
-    def counted(keys: list[int], bodies: list[bytes], runs: list[bytes]) -> list[tuple]:
+    def counted(keys: list[int], bodies: list[bytes], runs: list[bytes], mores: list[bytes]) -> list[tuple]:
         values = np.frombuffer(b"".join(bodies), "<u4")
-        order = np.argsort(values, kind="stable")
-        ranked = values[order]
+        # An entry of `more` stands for two documents, at least.
+        everything = np.concatenate([values, np.repeat(np.frombuffer(b"".join(mores), "<u4"), 2)])
+        order = np.argsort(everything, kind="stable")
+        ranked = everything[order]
         first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-        df = np.empty(len(values), np.int64)
-        df[order] = np.repeat(np.diff(np.append(first, len(ranked))), np.diff(np.append(first, len(ranked))))
+        count = np.diff(np.append(first, len(ranked))).astype(np.int32)
+        df = np.empty(len(everything), np.int32)
+        df[order] = np.repeat(count, count)
         rows, at = [], 0
         for key, body, run in zip(keys, bodies, runs, strict=True):
             mine = df[at : at + len(body) // 4]
             at += len(mine)
+            if not len(mine):
+                continue
             pair = np.frombuffer(run, "<u2").reshape(-1, 2)
             start = np.concatenate(([0], np.cumsum(pair[:, 1].astype(np.int64))[:-1]))
             more = mine > 1
@@ -155,22 +189,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((key, 1, seen.tobytes()))
         return rows
 
-    now, keys, bodies, runs = None, [], [], []
+    now, held = None, []
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            shard, key, kind, body, run = row
+        for shard, key, kind, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if kind == 0:
-                yield out([(key, 0, body)])
+                yield out([(key, 0, row[0])])
                 continue
-            if shard != now and keys:
-                if rows := counted(keys, bodies, runs):
+            if shard != now and held:
+                if rows := counted(*zip(*held, strict=True)):
                     yield out(rows)
-                keys, bodies, runs = [], [], []
+                held = []
             now = shard
-            keys.append(key)
-            bodies.append(body)
-            runs.append(run)
-    if keys and (rows := counted(keys, bodies, runs)):
+            held.append((key, *row))
+    if held and (rows := counted(*zip(*held, strict=True))):
         yield out(rows)
 
 
@@ -192,7 +223,7 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 now, head = key, None
             if kind == 0:
                 head = np.frombuffer(body, _HEAD)
-                shared, weight = np.zeros(len(head), np.int64), np.zeros(len(head))
+                shared, weight = head["shared"].astype(np.int64), head["weight"].astype(np.float64)
             else:
                 seen = np.frombuffer(body, _SEEN)
                 np.add.at(shared, seen["doc"], seen["shared"].astype(np.int64))
@@ -203,10 +234,10 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def document_sets(docs: DataFrame, length: int = SHINGLE) -> DataFrame:
     """(id, n, hi, lo, shared, weight) per row of docs (id bigint, text string): the count filter's figures."""
-    shards = shuffle_partitions(docs.sparkSession)
-    dealt = _dealt(docs, shards, length)
-    seen = dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_counted, "batch bigint, kind int, body binary")
-    out = seen.repartition(shards, "batch").sortWithinPartitions("batch", "kind").mapInArrow(_combined, "id bigint, n bigint, hi bigint, lo bigint, shared bigint, weight double")
+    tasks = shuffle_partitions(docs.sparkSession)
+    shards = shard_count(docs)
+    seen = dealt_by_shard(_dealt(docs, shards, length), shards).sortWithinPartitions("shard").mapInArrow(_counted, "batch bigint, kind int, body binary")
+    out = seen.repartition(tasks, "batch").sortWithinPartitions("batch", "kind").mapInArrow(_combined, "id bigint, n bigint, hi bigint, lo bigint, shared bigint, weight double")
     return written(out, "jaccard-documents")
 
 

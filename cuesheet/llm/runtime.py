@@ -63,6 +63,22 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of text whose shingles or seeds are one shard, which a task holds at a time.
+SHARD_BYTES = 64 << 20
+
+
+def shard_count(docs: DataFrame, text_col: str = "text") -> int:
+    """Shards for the shingles of docs: one for each of the session's tasks, and more if texts are larger, as they are measured."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(shuffle_partitions(docs.sparkSession), -(-size // SHARD_BYTES))
+
+
+def dealt_by_shard(rows: DataFrame, shards: int) -> DataFrame:
+    """rows dealt by their shard, from 0 on: shard i goes to task i modulo the session's tasks, so that none is empty or has two for another's none."""
+    tasks = min(shards, shuffle_partitions(rows.sparkSession))
+    return rows.repartitionById(tasks, F.col("shard") % tasks)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII text takes the JVM's byte loop, other text translate()."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
