@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuesheet.llm.runtime import LOWER, UPPER
+from cuesheet.llm.runtime import LOWER, UPPER, without_ids
 
 WINDOW = 13
 #: Bytes of benchmark windows, and of their hash set, up to which they are broadcast.
@@ -162,8 +162,8 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without its contaminated documents, columns unchanged; ids are taken to be unique."""
-    bad = contamination(docs, bench, id_col, text_col, **options).filter("contaminated").select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__id"]), "left_anti")
+    bad = contamination(docs, bench, id_col, text_col, **options).filter("contaminated").select(F.col(id_col).alias("__id"))
+    return without_ids(docs, id_col, bad)
 
 
 def remove_spans(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

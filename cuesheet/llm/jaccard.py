@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuesheet.llm.graph import components
-from cuesheet.llm.runtime import dealt_by_shard, mix64, run_hashes, shard_count, shuffle_partitions, span_hashes, text_pieces, word_spans, written
+from cuesheet.llm.runtime import dealt_by_shard, mix64, run_hashes, shard_count, shuffle_partitions, span_hashes, text_pieces, without_ids, word_spans, written
 
 SHINGLE = 5
 #: The similarity threshold, in hundredths.
@@ -112,7 +112,7 @@ def _dealt(docs: DataFrame, shards: int, length: int) -> DataFrame:
             head = np.array(heads, _HEAD)
             head["shared"] = np.bincount(doc[often > 1], minlength=len(sets))
             head["weight"] = np.bincount(doc, np.log2(often), minlength=len(sets))
-            rows = [(number % shards, key, 0, head.tobytes(), b"", b"")]
+            rows = [((part + number) % shards, key, 0, head.tobytes(), b"", b"")]
             alone = often == 1
             single, doc, more = all_[alone], doc[alone], ranked[common]
             bodies: dict[int, tuple] = {}
@@ -466,5 +466,5 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """df with one document, that of the smallest id, of each component; columns unchanged. Rows with a null id stay."""
-    gone = similar_components(df, id_col, text_col, **options).filter(f"`{id_col}` <> component_id").select(F.col(id_col).alias("__id")).distinct()
-    return df.join(gone, df[id_col] == gone["__id"], "left_anti")
+    gone = similar_components(df, id_col, text_col, **options).filter(f"`{id_col}` <> component_id").select(F.col(id_col).alias("__id"))
+    return without_ids(df, id_col, gone)

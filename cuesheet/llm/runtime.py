@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,40 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuesheet.session import fresh_path, shared_dir  # noqa: F401  the operators take them from here
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only a local-mode session without that setting gets a temporary folder; on a cluster a
-    machine-local folder would not be visible to other executors, so that is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    sc = spark.sparkContext
-    if sc.master != "local" and not sc.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not hasattr(sc, "_cuesheet_shared"):
-        sc._cuesheet_shared = "file://" + tempfile.mkdtemp(prefix="cuesheet-")
-    return sc._cuesheet_shared
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in this application's folder below the shared one, which goes when the driver ends."""
-    sc = spark.sparkContext
-    base = f"{shared_dir(spark)}/cuesheet-{sc.applicationId}"
-    if not hasattr(sc, "_cuesheet_folder"):
-        folder = sc._jvm.org.apache.hadoop.fs.Path(base)
-        fs = folder.getFileSystem(sc._jsc.hadoopConfiguration())
-        fs.mkdirs(folder)
-        fs.deleteOnExit(folder)
-        sc._cuesheet_folder = base
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: lineage ends there.
 
@@ -79,6 +49,40 @@ def dealt_by_shard(rows: DataFrame, shards: int) -> DataFrame:
     return rows.repartitionById(tasks, F.col("shard") % tasks)
 
 
+#: Bits of a bitmap that picks rows before a shuffle: 4 MB, whatever the number of rows.
+BITMAP_BITS = 25
+
+
+def bitmap(df: DataFrame, value: Column) -> DataFrame:
+    """(word, bits): a bitmap that has the hash of every value, as at most 2^(BITMAP_BITS-6) rows."""
+    at = F.pmod(F.xxhash64(value), F.lit(1 << BITMAP_BITS))
+    rows = df.select(at.alias("__at")).select(F.shiftright("__at", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(__at & 63 as int))").alias("bit"))
+    return rows.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def in_bitmap(df: DataFrame, value: Column, bits: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows of df, columns unchanged, whose value is (or is not) in the bitmap: all that were put in, and by chance some others.
+
+    The bitmap's size is bounded, so it is broadcast; df is not shuffled.
+    """
+    row = df.select(F.struct(*[df[c] for c in df.columns]).alias("__row"), F.pmod(F.xxhash64(value), F.lit(1 << BITMAP_BITS)).alias("__at"))
+    found = row.join(F.broadcast(bits), F.shiftright("__at", 6).cast("int") == F.col("word"), "left")
+    hit = F.coalesce(F.expr("(bits & shiftleft(1L, cast(__at & 63 as int))) <> 0"), F.lit(False))
+    return found.filter(hit if inside else ~hit).select(*[F.col("__row")[c].alias(c) for c in df.columns])
+
+
+def without_ids(df: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """df, columns unchanged, without the rows whose id is in gone (__id; null is an id too).
+
+    Only rows that a bitmap of the ids lets through are joined with them; the others are not shuffled.
+    """
+    gone = written(gone.distinct(), "gone-ids")
+    bits = written(bitmap(gone, F.col("__id")), "gone-bits")
+    clean = in_bitmap(df, df[id_col], bits, inside=False)
+    doubtful = in_bitmap(df, df[id_col], bits)
+    return clean.unionByName(doubtful.join(gone, doubtful[id_col].eqNullSafe(gone["__id"]), "left_anti"))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII text takes the JVM's byte loop, other text translate()."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -52,12 +52,30 @@ def test_without_the_optional_folders(tmp_path):
     import shutil
 
     repo = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
-    for name in ("cuesheet", "__spark_entry__.py"):
+    for name in ("cuesheet", "tests", "__spark_entry__.py", "bench.py"):
         src = os.path.join(repo, name)
         (shutil.copytree if os.path.isdir(src) else shutil.copy)(src, tmp_path / name)
     shutil.rmtree(tmp_path / "cuesheet" / "llm")
+    shutil.rmtree(tmp_path / "tests" / "llm")
     code = "import __spark_entry__ as e; q = e.queries(); assert 'seg_islands' in q and 'pipeline' not in q and not any(k.startswith('op') and '_' in k and k[2:3].isdigit() for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+    # What is left is collected whole, and the tests of functions, sources and entry points are run.
+    run = [sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider"]
+    subprocess.run([*run, "--collect-only", "tests"], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)}, stdout=subprocess.DEVNULL)
+    subprocess.run([*run, "tests/test_functions.py", "tests/test_io.py", "tests/test_oracle.py::test_entry"], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)}, stdout=subprocess.DEVNULL)
+
+
+def test_a_missing_dependency_is_an_error(tmp_path):
+    import os
+    import shutil
+
+    repo = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    shutil.copytree(os.path.join(repo, "cuesheet"), tmp_path / "cuesheet")
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        shutil.copy(os.path.join(repo, name), tmp_path / name)
+    (tmp_path / "zstandard.py").write_text("raise ImportError('not here')")
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert done.returncode and "not here" in done.stderr
 
 
 def test_shared_folder_is_the_session_setting(spark):
