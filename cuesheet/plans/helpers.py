@@ -206,6 +206,19 @@ ERROR_REPORT = """WITH c AS (SELECT c_custkey AS k, left(c_mktsegment, 1) AS r F
 SELECT CASE WHEN a.r = b.r THEN 'cor' ELSE 'sub' END AS op, a.r AS ref_part, b.r AS hyp_part, count(*) AS n FROM c a JOIN c b ON b.k = a.k + 1 GROUP BY ALL ORDER BY n DESC, ref_part DESC, hyp_part DESC LIMIT 10"""
 
 
+def merged_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring errors as one: a letter against two of the next customer's, between equal marks."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("1"), F.substring("c_mktsegment", 1, 1), F.lit("2")).alias("r"), F.concat(F.lit("1"), F.substring("c_mktsegment", 1, 2), F.lit("2")).alias("h"))
+    pairs = c.select("c_custkey", "r").join(c.select((F.col("c_custkey") - 1).alias("c_custkey"), "h"), "c_custkey")
+    return aggregates.error_table(pairs, "r", "h", combine=True)
+
+
+MERGED_ERRORS = """WITH p AS (SELECT left(a.c_mktsegment, 1) AS r, left(b.c_mktsegment, 1) AS x, substr(b.c_mktsegment, 2, 1) AS y FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1),
+e AS (SELECT unnest(CASE WHEN r = x THEN [('cor', '1', '1'), ('cor', r, x), ('ins', '', y), ('cor', '2', '2')] WHEN r = y THEN [('cor', '1', '1'), ('ins', '', x), ('cor', r, y), ('cor', '2', '2')]
+  ELSE [('cor', '1', '1'), ('sub', r, x || y), ('cor', '2', '2')] END) AS e FROM p)
+SELECT e[1] AS op, e[2] AS ref_part, e[3] AS hyp_part, count(*) AS n FROM e GROUP BY ALL"""
+
+
 # -- samples -----------------------------------------------------------------------------------
 
 _ORDER = "CAST('0x' || left(md5('{0}:' || {1}), 15) AS BIGINT)"
@@ -358,7 +371,7 @@ HELD_RATE = f"SELECT n_nationkey + 1 AS step, {_U.format('greatest(2.0::DOUBLE /
 
 _NAMES = [
     path_helpers, progress_lines, han_counts, chat_tokens, escaped_parts, token_rows, odd_tokens, rounded_values, map_merge,
-    model_choice, default_rows, usable_audio, recording_caps, rate_filter, smallest_files, completed_steps, error_report,
+    model_choice, default_rows, usable_audio, recording_caps, rate_filter, smallest_files, completed_steps, error_report, merged_errors,
     epoch_shards, seeded_picks, sampled_tokens, doubled_rows, overlapping_cuts,
     mono_parts, joined_sequences, speech_track, pcm_samples, face_crops, zipped_frames, resampled_arrays, held_rate,
 ]
