@@ -245,6 +245,16 @@ def resample(rate: int, target: int):
     return run
 
 
+def resampled(values: Column, rate: Column, target: int) -> Column:
+    """Values of a rate of their own at the target rate, band-limited, as doubles."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(a: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else band_limited(x, int(k), target) for x, k in zip(a, r, strict=True)])
+
+    return run(values, rate)
+
+
 def seconds_of(sample: Column, rate: int, offset: Column | None = None) -> Column:
     at = sample / F.lit(float(rate))
     return at if offset is None else at + offset

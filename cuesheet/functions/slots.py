@@ -37,6 +37,46 @@ def routed(df: DataFrame, method: str, column: str, slots: dict[str, Callable[[C
     return parts.unionByName(bad)
 
 
+#: The ways to ask for speech, with the columns that each needs.
+METHODS: dict[str, tuple[str, ...]] = {
+    "sft": ("tts_text", "spk_id"),
+    "zero_shot": ("tts_text", "prompt_text", "prompt_speech"),
+    "cross_lingual": ("tts_text", "prompt_speech"),
+    "instruct": ("tts_text", "spk_id", "instruct_text"),
+    "instruct2": ("tts_text", "instruct_text", "prompt_speech"),
+    "vc": ("source_speech", "prompt_speech"),
+}
+
+
+def method_slot(name: str, load: Callable[[], Callable[[pd.DataFrame], pd.Series]], result: T.DataType) -> Callable[[Column], Column]:
+    """A Column function around a model of one method: it maps a frame of the method's columns to a series.
+
+    A row that lacks one of them is an error.
+    """
+    needs = METHODS[name]
+
+    @F.pandas_udf(result)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        model = load()
+        for frame in batches:
+            lacking = [c for c in needs if frame[c].isna().any()]
+            if lacking:
+                raise ValueError(f"{name} needs {', '.join(lacking)}")
+            yield model(frame[list(needs)])
+
+    return run
+
+
+def inferred(df: DataFrame, method: str, slots: dict[str, Callable[[Column], Column]], out: str) -> DataFrame:
+    """df with out: each row through the slot of its method, which gets the method's columns; unknown methods are an error.
+
+    Columns that df has not are null.
+    """
+    inputs = sorted({c for needs in METHODS.values() for c in needs})
+    frame = F.struct(*[(F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(c) for c in inputs])
+    return routed(df.withColumn("__inputs", frame), method, "__inputs", slots, out).drop("__inputs")
+
+
 #: The slots that a dubbing job has, with what each takes and gives.
 SLOTS: dict[str, tuple[str, str]] = {
     "voice_activity": ("speech array<float>", "array<struct<start:double,end:double>>"),

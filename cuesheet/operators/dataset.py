@@ -31,13 +31,9 @@ def keep(df: DataFrame, max_length: int = 10240, min_length: int = 10, token_max
 
 @register("resample")
 def resample(df: DataFrame, rate: int = 22050, least: int = 16000) -> DataFrame:
-    """Speech at one rate, its peak at most 1; slower rows go if they would have to be resampled. Per rate of origin a plan branch."""
+    """Speech at one rate, band-limited, its peak at most 1; slower rows go if they would have to be resampled."""
     out = batching.resample_filter(df, F.col("sample_rate"), rate, least)
-    kind = F.col("sample_rate")
-    ratio = F.lit(float(rate)) / kind
-    same = F.transform("speech", lambda x: x.cast("double"))
-    n = F.greatest(F.round(F.size("speech") * ratio).cast("int"), F.lit(1))
-    made = F.when(kind == rate, same).otherwise(arrays.interpolate(F.col("speech"), n))
+    made = arrays.resampled(F.col("speech"), F.col("sample_rate"), rate)
     return out.withColumn("speech", arrays.peak_normalize(made)).withColumn("sample_rate", F.lit(rate))
 
 

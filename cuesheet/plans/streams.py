@@ -182,6 +182,22 @@ def slot_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SLOT_ROUTING = "SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 2 = 0 THEN 'chat' ELSE 'translate' END AS method, CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment) ELSE reverse(c_mktsegment) END AS answer FROM customer"
 
 
+def inference_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests by three methods, each answered from the columns that its method has."""
+    def joined() -> object:
+        return lambda frame: frame.astype(str).agg("+".join, axis=1)
+
+    c = table(spark, sf_dir, "customer")
+    asked = F.element_at(F.array(*[F.lit(m) for m in ("sft", "cross_lingual", "instruct")]), (F.col("c_custkey") % 3 + 1).cast("int"))
+    rows = c.select("c_custkey", asked.alias("method"), F.col("c_name").alias("tts_text"), F.concat(F.lit("s"), F.col("c_nationkey").cast("string")).alias("spk_id"), F.lower("c_mktsegment").alias("instruct_text"), F.when(F.col("c_custkey") % 3 == 1, "wave").alias("prompt_speech"))
+    out = slots.inferred(rows, "method", {m: slots.method_slot(m, joined, T.StringType()) for m in ("sft", "cross_lingual", "instruct")}, "answer")
+    return out.select("c_custkey", "method", "answer")
+
+
+INFERENCE_METHODS = """SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'sft' WHEN 1 THEN 'cross_lingual' ELSE 'instruct' END AS method,
+  c_name || CASE c_custkey % 3 WHEN 0 THEN '+s' || c_nationkey WHEN 1 THEN '+wave' ELSE '+s' || c_nationkey || '+' || lower(c_mktsegment) END AS answer FROM customer"""
+
+
 def planned_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The enabled steps of a plan run one after another; one of them finds nothing to do."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -206,7 +222,7 @@ SELECT step, 'running' AS state, count(DISTINCT project) AS n FROM l WHERE step
 
 _NAMES = [
     token_stream, message_stream, stream_progress, active_streams, interleaved_tokens, overlap_windows, replay_chunks,
-    retry_answers, cancelled_rows, longest_attempt, slot_routing, planned_run, marked_log,
+    retry_answers, cancelled_rows, longest_attempt, slot_routing, inference_methods, planned_run, marked_log,
 ]
 QUERIES = {f.__name__: f for f in _NAMES}
 ORACLE = {name: globals()[name.upper()] for name in QUERIES}
