@@ -46,7 +46,7 @@ SPARE = 0.2
 BITMAP_BITS = 25
 #: Cells by which elements are counted; differing counts bound the difference of two sets from below.
 PROFILE = 256
-_FLUSH = 1_000_000
+_FLUSH = 400_000
 
 #: shared and weight: what the batch knows by itself.
 _HEAD = np.dtype([("id", "<i8"), ("null", "?"), ("n", "<u4"), ("hi", "<i8"), ("lo", "<i8"), ("shared", "<u4"), ("weight", "<f4")])
