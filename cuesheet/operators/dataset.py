@@ -33,8 +33,9 @@ def keep(df: DataFrame, max_length: int = 10240, min_length: int = 10, token_max
 def resample(df: DataFrame, rate: int = 22050, least: int = 16000) -> DataFrame:
     """Speech at one rate, band-limited, its peak at most 1; slower rows go if they would have to be resampled."""
     out = batching.resample_filter(df, F.col("sample_rate"), rate, least)
-    made = arrays.resampled(F.col("speech"), F.col("sample_rate"), rate)
-    return out.withColumn("speech", arrays.peak_normalize(made)).withColumn("sample_rate", F.lit(rate))
+    # A column first: no lambda may hold a pandas UDF.
+    out = out.withColumn("speech", arrays.resampled(F.col("speech"), F.col("sample_rate"), rate))
+    return out.withColumn("speech", arrays.peak_normalize(F.col("speech"))).withColumn("sample_rate", F.lit(rate))
 
 
 @register("truncate")

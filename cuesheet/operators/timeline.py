@@ -171,29 +171,29 @@ def overlap_argmax(left: DataFrame, right: DataFrame, keys: list[str], label: st
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], width: float = BUCKET_S) -> DataFrame:
     """(pos, rl) of the right row of another pos whose `at` is nearest to the left row's; ties: earlier start, then pos.
 
-    left: keys, pos, at; right: keys, pos, seg_start, at, rl. A left row is compared with the right rows of
-    its own bucket, and with the last one of the buckets before and the first one of those after it.
+    left: keys, pos, at; right: keys, pos, seg_start, at, rl. Right rows of one time are a group, of which the
+    first two can matter; a left row looks at the two groups up to its time and the two from it on, which
+    forward fills bring to it. No list of a bucket's rows is built.
     """
-    cut = F.floor(F.col("at") / F.lit(width)).alias("__b")
-    shape = F.struct("at", F.col("seg_start").alias("s"), F.col("pos").alias("p"), F.col("rl").alias("l"))
-    per = right.select(*keys, cut, shape.alias("r")).groupBy(*keys, "__b")
-    mirrored = F.struct(F.col("r.at").alias("at"), (-F.col("r.s")).alias("s"), (-F.col("r.p")).alias("p"), F.col("r.l").alias("l"))
-    per = per.agg(F.collect_list("r").alias("here"), F.max(mirrored).alias("high"), F.min("r").alias("low"))
-    per = per.withColumn("high", F.struct(F.col("high.at").alias("at"), (-F.col("high.s")).alias("s"), (-F.col("high.p")).alias("p"), F.col("high.l").alias("l")))
-    rows = left.select(*keys, "pos", "at", cut)
-    all_buckets = rows.select(*keys, "__b").distinct().join(per, [*keys, "__b"], "full")
-    order = Window.partitionBy(*keys).orderBy("__b")
-    edges = all_buckets.select(
-        *keys,
-        "__b",
-        "here",
-        F.last("high", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
-        F.first("low", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
-    )
-    pool = F.concat(F.array("before", "after"), F.coalesce("here", F.array().cast(edges.schema["here"].dataType)))
-    met = F.filter(pool, lambda x: x.isNotNull() & (x["p"] != F.col("pos")))
-    ranked = F.transform(met, lambda x: F.struct(F.abs(x["at"] - F.col("at")).alias("d"), x["s"].alias("s"), x["p"].alias("p"), x["l"].alias("l")))
-    return rows.join(edges, [*keys, "__b"], "left").select("pos", F.array_min(ranked)["l"].alias("rl"))
+    item = F.struct(F.col("seg_start").alias("s"), F.col("pos").alias("p"), F.col("rl").alias("l"))
+    first = right.withColumn("__k", F.row_number().over(Window.partitionBy(*keys, "at").orderBy("seg_start", "pos"))).filter("__k <= 2")
+    groups = first.groupBy(*keys, "at").agg(F.collect_list(F.struct(F.col("at").alias("at"), item.alias("i"))).alias("items"))  # at most two
+
+    def seen(ahead: bool) -> DataFrame:
+        """(keys, pos, at, items): of each left row, the items of the two groups on one side of it."""
+        order = -F.col("at") if ahead else F.col("at")
+        rows = scale.neighbours(groups.withColumn("__o", order), keys, ["__o"], F.floor(F.col("__o") / F.lit(width)), "items", "__last")
+        none = F.array().cast(groups.schema["items"].dataType)
+        rows = rows.select(*keys, "at", "__o", F.lit(0).alias("__side"), F.lit(None).cast(left.schema["pos"].dataType).alias("pos"), F.concat("items", F.coalesce("__last", none)).alias("items"))
+        both = rows.unionByName(left.select(*keys, "at", order.alias("__o"), F.lit(1).alias("__side"), "pos", F.lit(None).cast(none_type).alias("items")))
+        filled = scale.forward_fill(both, keys, ["__o", "__side", "pos"], F.floor(F.col("__o") / F.lit(width)), "items", none, "__items")
+        return filled.filter("__side = 1").select(*keys, "pos", "at", F.col("__items").alias("items"))
+
+    none_type = groups.schema["items"].dataType
+    sides = seen(False).unionByName(seen(True))
+    met = F.filter("items", lambda x: x["i"]["p"] != F.col("pos"))
+    ranked = F.transform(met, lambda x: F.struct(F.abs(x["at"] - F.col("at")).alias("d"), x["i"]["s"].alias("s"), x["i"]["p"].alias("p"), x["i"]["l"].alias("l")))
+    return sides.select("pos", F.array_min(ranked).alias("best")).groupBy("pos").agg(F.min("best").alias("best")).select("pos", F.col("best.l").alias("rl"))
 
 
 def range_lookup_median(segments: DataFrame, frames: DataFrame, keys: list[str], rate: float, hop: int, threshold: float, fallback: str, high: str, low: str) -> DataFrame:

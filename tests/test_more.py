@@ -179,3 +179,15 @@ def test_longest_attempt_equals_the_loop(spark):
     df = spark.createDataFrame([(k, a, n, 6) for k, v in made.items() for a, n in enumerate(v)], "k int, a int, n int, p int")
     got = {r.k: r.n for r in events.longest_attempt(df, ["k"], "a", "n", "p").collect()}
     assert got == {k: len(events.longest_take(lambda v, seed, k=k: [0] * made[k][seed], lambda v: 6.0)("x")) for k in made}
+
+
+@pytest.mark.parametrize("width", [0.5, 7.0, 1000.0])
+def test_nearest_equals_a_search(spark, width):
+    rnd = random.Random(6)
+    right = [(rnd.choice("xy"), i, float(rnd.randint(0, 40)), rnd.choice("ab")) for i in range(120)]
+    left = [(k, p, at) for k, p, at, _ in right if rnd.random() < 0.5] + [("z", 500, 1.0), ("x", 501, -3.0), ("y", 502, 99.0)]
+    r = spark.createDataFrame([(k, p, at - p % 3, at, v) for k, p, at, v in right], "source string, pos long, seg_start double, at double, rl string")
+    got = {x.pos: x.rl for x in timeline.nearest(spark.createDataFrame(left, "source string, pos long, at double"), r, ["source"], width).collect()}
+    for k, p, at in left:
+        best = min(((abs(b - at), b - q % 3, q, v) for j, q, b, v in right if j == k and q != p), default=None)
+        assert got.get(p) == (best and best[3])
