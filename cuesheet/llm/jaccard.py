@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuesheet.llm.graph import components
-from cuesheet.llm.runtime import dealt_by_shard, mix64, run_hashes, shard_count, shuffle_partitions, span_hashes, text_pieces, without_ids, word_spans, written
+from cuesheet.llm.runtime import dealt_by_shard, mix64, run_hashes, shard_count, shuffle_partitions, span_hashes, text_pieces, tidy, without_ids, word_spans, written
 
 SHINGLE = 5
 #: The similarity threshold, in hundredths.
@@ -140,7 +140,7 @@ def _dealt(docs: DataFrame, shards: int, length: int) -> DataFrame:
         if heads:
             yield flushed()
 
-    return docs.mapInArrow(run, "shard int, batch bigint, kind int, body binary, docs binary, more binary")
+    return docs.mapInArrow(tidy(run), "shard int, batch bigint, kind int, body binary, docs binary, more binary")
 
 
 def _runs(doc: np.ndarray) -> bytes:
@@ -236,8 +236,8 @@ def document_sets(docs: DataFrame, length: int = SHINGLE) -> DataFrame:
     """(id, n, hi, lo, shared, weight) per row of docs (id bigint, text string): the count filter's figures."""
     tasks = shuffle_partitions(docs.sparkSession)
     shards = shard_count(docs)
-    seen = dealt_by_shard(_dealt(docs, shards, length), shards).sortWithinPartitions("shard").mapInArrow(_counted, "batch bigint, kind int, body binary")
-    out = seen.repartition(tasks, "batch").sortWithinPartitions("batch", "kind").mapInArrow(_combined, "id bigint, n bigint, hi bigint, lo bigint, shared bigint, weight double")
+    seen = dealt_by_shard(_dealt(docs, shards, length), shards).sortWithinPartitions("shard").mapInArrow(tidy(_counted), "batch bigint, kind int, body binary")
+    out = seen.repartition(tasks, "batch").sortWithinPartitions("batch", "kind").mapInArrow(tidy(_combined), "id bigint, n bigint, hi bigint, lo bigint, shared bigint, weight double")
     return written(out, "jaccard-documents")
 
 
@@ -282,7 +282,7 @@ def _node_sets(docs: DataFrame, nodes: DataFrame, length: int) -> DataFrame:
                     names=["id", "hi", "lo", "body", "profile"],
                 )
 
-    found = rows.mapInArrow(run, "id bigint, hi bigint, lo bigint, body binary, profile array<smallint>")
+    found = rows.mapInArrow(tidy(run), "id bigint, hi bigint, lo bigint, body binary, profile array<smallint>")
     own = nodes.select("node", "n", F.col("hi").alias("h2"), F.col("lo").alias("l2"), "hk")
     joined = found.join(own, (F.col("id") == F.col("node")) & (F.col("hi") == F.col("h2")) & (F.col("lo") == F.col("l2")))
     return written(joined.select("node", "n", "hk", "body", "profile").dropDuplicates(["node", "hk"]), "jaccard-sets")
@@ -350,7 +350,7 @@ def _signatures(sets: DataFrame, percent: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(hk[owner], [len(x) for x in sigs]))], names=["sig", "hk"])
                     sigs, owner, held = [], [], 0
 
-    return sets.select("hk", "body").mapInArrow(run, "sig bigint, hk bigint")
+    return sets.select("hk", "body").mapInArrow(tidy(run), "sig bigint, hk bigint")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
@@ -370,7 +370,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> Dat
                 gap[i], linked[i] = 1 - same / union, 100 * same >= percent * union
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gap), pa.array(linked)], names=["a", "b", "gap", "linked"])
 
-    return written(both.mapInArrow(run, "a bigint, b bigint, gap double, linked boolean"), name)
+    return written(both.mapInArrow(tidy(run), "a bigint, b bigint, gap double, linked boolean"), name)
 
 
 def _open_pairs(members: DataFrame, label: DataFrame, name: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuesheet.llm.runtime import separators, shuffle_partitions, span_hashes, text_pieces, word_spans, written
+from cuesheet.llm.runtime import separators, shuffle_partitions, span_hashes, text_pieces, tidy, word_spans, written
 
 BUCKET_BITS = 16
 UNDETERMINED = "und"
@@ -221,7 +221,7 @@ def learn(df: DataFrame, lang_col: str, text_col: str, id_col: str, settings: Se
 
     total = np.zeros((1 << BUCKET_BITS, len(languages)), np.int64)
     by_language = sample.repartition(min(len(languages), shuffle_partitions(spark)), "lang").sortWithinPartitions("lang")
-    for row in by_language.mapInArrow(count, "lang int, counts binary").toLocalIterator():  # a row per language
+    for row in by_language.mapInArrow(tidy(count), "lang int, counts binary").toLocalIterator():  # a row per language
         total[:, row["lang"]] += np.frombuffer(row["counts"], np.int64)
     return MixtureModel(languages, total, settings)
 
@@ -274,7 +274,7 @@ def predict(df: DataFrame, model: MixtureModel | None, id_col: str = "doc_id", t
                 )
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` {id_type}, lang_pred string, score double, n_languages int, proportions map<string,double>")
+    return rows.mapInArrow(tidy(run), f"`{id_col}` {id_type}, lang_pred string, score double, n_languages int, proportions map<string,double>")
 
 
 def keep_languages(df: DataFrame, model: MixtureModel | None, languages: list[str] | None = None, min_share: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -293,4 +293,4 @@ def keep_languages(df: DataFrame, model: MixtureModel | None, languages: list[st
                 stay = found & wanted[top] & (shares[np.arange(end - first), top] >= min_share)
                 yield batch.slice(first, end - first).filter(pa.array(stay))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)

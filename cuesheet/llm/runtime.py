@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -34,6 +35,18 @@ def small_batches(spark: SparkSession, size: int = 16 << 20) -> Iterator[None]:
         spark.conf.set(_BATCH_BYTES, before)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which gives memory that it has freed back to the system when a task ends: workers live on for other stages."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
+            trim(0)
+
+    return tidied
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: lineage ends there.
 

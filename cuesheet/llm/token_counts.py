@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from cuesheet.llm.runtime import equal_spans, separators, span_hashes, text_pieces
+from cuesheet.llm.runtime import equal_spans, separators, span_hashes, text_pieces, tidy
 
 #: White space as the Unicode property has it (Python's own \\s also takes U+001C to U+001F).
 _WS = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -280,4 +280,4 @@ def count_tokens(df: DataFrame, tokenizer_path: str, limit: int = 1024, id_col:
                 )
 
     rows = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(count, f"`{id_col}` {id_type}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return rows.mapInArrow(tidy(count), f"`{id_col}` {id_type}, n_bytes bigint, n_tokens bigint, over_limit boolean")
