@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuesheet.llm import decontaminate, exact_dedup, jaccard, langid, packing, passages, quality, secrets, token_counts, warc
+from cuesheet.llm.runtime import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,7 +72,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = _table(spark, sf_dir, "documents")
-    counts = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    counts = written(token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")), "packing-counts")
     return packing.pack_documents(counts, rows=docs.count())
 
 

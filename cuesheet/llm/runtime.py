@@ -22,7 +22,7 @@ _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 @contextmanager
-def small_batches(spark: SparkSession, size: int = 16 << 20) -> Iterator[None]:
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
     """Rows go to Python workers in batches of at most `size` bytes, whole rows each: both sides hold one of them at a time."""
     before = spark.conf.get(_BATCH_BYTES)
     if not before.rstrip("b").isdigit() or int(before.rstrip("b")) <= size:
