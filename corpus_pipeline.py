@@ -38,7 +38,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece of a document, with its place in a sequence of a permitted length."""
     import public_tokenizers
 
-    counts = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    counts = written(token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")), "pipeline-counts")
     return packing.pack_documents(counts, rows=docs.count())
 
 
